@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import language, leakage, lines, mixture, repetition, twins
+from quirefold.llm import language, leakage, lines, mixture, repetition, truncation, twins
 from quirefold.runtime import read_table
 
 
@@ -53,6 +53,18 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.canonical(texts(spark, sf_dir), ["src_table", "row_id"], "text")
 
 
+def p5_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judge(read_table(spark, sf_dir, "llm_ocr"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_calls(spark, sf_dir).where("is_cut").select("call_id")
+
+
+def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.per_source(p5_calls(spark, sf_dir))
+
+
 def _lines(spark: SparkSession, sf_dir: str):
     blocks = read_table(spark, sf_dir, "parsing_res_list")
     return blocks, *lines.excessive(blocks, F.col("block_id"), F.col("source"), F.col("job_id"), F.col("block_content"))
@@ -102,6 +114,9 @@ QUERIES = {
     "p1_repetition": p1_repetition,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p5_found": p5_found,
+    "p5_calls": p5_calls,
+    "p5_sources": p5_sources,
     "p6_found": p6_found,
     "p6_lines": p6_lines,
     "p6_clean": p6_clean,
