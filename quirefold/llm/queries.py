@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import language, leakage, lines, mixture, repetition, truncation, twins
+from quirefold.llm import language, leakage, lines, markup, mixture, repetition, truncation, twins
 from quirefold.runtime import read_table
 
 
@@ -45,6 +45,21 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unionByName(blocks)
 
 
+KEYS = ["src_table", "row_id"]
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.pieces_of_markup(texts(spark, sf_dir), KEYS, "source", "text").select(*KEYS).distinct()
+
+
+def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.templates(texts(spark, sf_dir), KEYS, "source", "text")
+
+
+def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(texts(spark, sf_dir), KEYS, "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.twins(texts(spark, sf_dir), "src_table", "row_id", "text")
 
@@ -112,6 +127,9 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_repetition": p1_repetition,
+    "p2_found": p2_found,
+    "p2_templates": p2_templates,
+    "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
