@@ -12,9 +12,11 @@ letter that only Cyrillic has get their look-alikes back in Cyrillic, which is a
 keeps one form.  Case, accents, digits, words and visible punctuation stay; full-width punctuation of CJK text is its
 usual form and stays too.
 
-Only texts that hold a character the tables change are exploded (one scan with a short character class); all
-others are their own form.  Tables are bounded by Unicode (under 30,000 rows); the map of distinct clusters is
-broadcast after a check of its size.
+Only texts that hold a character the tables change are exploded; all others are their own form.  Of
+those, the pieces (words, or phrases of scripts without spaces) that hold such a character are made distinct before they
+are exploded to clusters, and the clusters before they are exploded to code points, so every form is worked out once.
+Tables are bounded by Unicode (under 30,000 rows); the maps of distinct pieces are broadcast after a check of their
+size, else joined by a shuffle.
 
 Twins are found by the 128-bit hash of the form: only hashes and keys are shuffled, and only groups that hold two different
 texts are joined.  The pairs asked for are all pairs of rows with different characters and equal form.
@@ -42,7 +44,9 @@ GREEK_LATIN = "oiuvABEZHIKMNOPTYX"
 KEPT = "！（），：；？｡､"
 LIKE = dict(zip(CYRILLIC + GREEK, CYRILLIC_LATIN + GREEK_LATIN))
 LEAST_CHARS = 40
-_MARKS = r"\p{M}\p{Cf}ᅠ-ᇿ"
+_CLUSTER = r"(?s).[\p{M}\p{Cf}ᅠ-ᇿ]*"
+#: texts fall into pieces after these marks; a mark of this kind with a combining character stays one piece
+_AFTER = r"(?<=[ ，。；、])(?![\p{M}\p{Cf}])"
 
 
 def _fold(c: str) -> list[tuple[int, str]]:
@@ -58,38 +62,27 @@ def _fold(c: str) -> list[tuple[int, str]]:
 
 @functools.cache
 def _tables() -> tuple[list, list, str]:
-    """Fold rows, composition rows, and the character class of what may change."""
+    """Fold rows, composition rows, and the characters that may change."""
     folds, compositions, touched = [], [], []
     for o in range(0x80, 0x2FA20):
-        if 0xD800 <= o < 0xE000:
-            continue
         c = chr(o)
         category = unicodedata.category(c)
-        if category in ("Cn", "Co"):
+        if category in ("Cn", "Co", "Cs"):
             continue
         out = _fold(c)
         if out != [(0, c)]:
             folds.append((c, out))
         if category[0] == "M" or 0x1160 <= o < 0x1200 or unicodedata.normalize("NFC", "".join(x for _, x in out)) != c:
-            touched.append(o)
+            touched.append(c)
         parts = unicodedata.normalize("NFD", c)
         if parts != c and unicodedata.normalize("NFC", parts) == c:
             compositions.append((parts, c))
-    common = set(range(0x80, 0x180)) | set(range(0x400, 0x500)) | set(range(0x2010, 0x2028)) | set(range(0x3001, 0x3100)) | set(range(0x3400, 0xA000)) | set(range(0xAC00, 0xD7A4)) | set(range(0xFF01, 0xFF66))
-    hit, ranges = set(touched), []
-    for o in touched:
-        if ranges and (o == ranges[-1][1] + 1 or not any(x in common and x not in hit for x in range(ranges[-1][1] + 1, o)) and o - ranges[-1][1] < 0x400):
-            ranges[-1][1] = o
-        else:
-            ranges.append([o, o])
-    body = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
-    return folds, compositions, body
+    return folds, compositions, "".join(touched)
 
 
 def changes(text: Column) -> Column:
-    """Whether a text holds a character that may change (a superset, by ranges)."""
-    body = _tables()[2]
-    return text.rlike(rf"(?=[^\x00-\x7f一-鿿，。])[{body}]")
+    """Whether a text holds a character that may change."""
+    return F.translate(text, _tables()[2], "") != text
 
 
 def _maps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -103,30 +96,34 @@ def _maps(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 def _cluster_map(pieces: DataFrame) -> DataFrame:
     """Form of every distinct cluster: decompose, order the marks, recompose."""
     folds, compositions = _maps(pieces.sparkSession)
-    points = pieces.select("piece").distinct().select("piece", F.posexplode(F.split("piece", "")).alias("at", "ch")).where("ch <> ''")
+    points = pieces.select("cluster", F.posexplode(F.split("cluster", "")).alias("at", "ch")).where("ch <> ''")
     folded = points.join(folds, "ch", "left").withColumn("outs", F.coalesce("outs", F.array(F.struct(F.lit(0).alias("ccc"), F.col("ch").alias("o")))))
-    parts = folded.select("piece", "at", F.posexplode("outs").alias("inner", "x"))
-    ordered = parts.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("x.ccc", "at", "inner", "x.o"))).alias("xs"))
+    parts = folded.select("cluster", "at", F.posexplode("outs").alias("inner", "x"))
+    ordered = parts.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("x.ccc", "at", "inner", "x.o"))).alias("xs"))
     # a decomposition of several bases (ligatures) keeps its order; only a single base with marks is reordered
     bases = F.size(F.filter("xs", lambda x: x["ccc"] == 0))
     by_place = F.array_sort(F.transform("xs", lambda x: F.struct(x["at"].alias("at"), x["inner"].alias("inner"), x["o"].alias("o"))))
     joined = F.when(bases > 1, F.array_join(F.transform(by_place, lambda x: x["o"]), "")).otherwise(F.array_join(F.transform("xs", lambda x: x["o"]), ""))
-    decomposed = ordered.select("piece", joined.alias("parts"))
-    known = decomposed.join(compositions, "parts", "left").select("piece", F.coalesce("whole", "parts").alias("form"))
-    every = pieces.select("piece").distinct().join(known, "piece", "left")
-    return every.select("piece", F.coalesce("form", F.lit("")).alias("form"))
+    decomposed = ordered.select("cluster", joined.alias("parts"))
+    known = decomposed.join(compositions, "parts", "left").select("cluster", F.coalesce("whole", "parts").alias("form"))
+    every = pieces.join(known, "cluster", "left")
+    return every.select("cluster", F.coalesce("form", F.lit("")).alias("form"))
+
+
+def _rebuilt(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    joined = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("xs"))
+    return joined.select(*keys, F.array_join(F.transform("xs", lambda x: x["form"]), "").alias(out))
 
 
 def fold_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys`` (unique) and ``folded`` for the texts that may change."""
-    body = _tables()[2]
-    piece = rf"(?:[^{body}](?![{_MARKS}]))+|(?s).[{_MARKS}]*"
-    exploded = df.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(piece), 0)).alias("at", "piece"))
-    odd = F.when(F.col("piece").rlike(rf"[{body}]"), F.col("piece"))
-    mapping = broadcast_if_small(cut(_cluster_map(exploded.where(odd.isNotNull()))).withColumnRenamed("piece", "odd_piece"))
-    folded = exploded.withColumn("odd_piece", odd).join(mapping, "odd_piece", "left").select(*keys, "at", F.coalesce("form", "piece").alias("form"))
-    rebuilt = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("xs"))
-    return rebuilt.select(*keys, F.array_join(F.transform("xs", lambda x: x["form"]), "").alias("folded"))
+    """``keys`` (unique) and ``folded`` for texts that may change."""
+    pieces = df.select(*keys, F.posexplode(F.split(text, _AFTER)).alias("at", "piece"))
+    pieces = pieces.withColumn("odd", F.when(changes(F.col("piece")), F.col("piece")))
+    odd = cut(pieces.where("odd is not null").select("odd").distinct())
+    clusters = odd.select("odd", F.posexplode(F.regexp_extract_all("odd", F.lit(_CLUSTER), 0)).alias("at", "cluster"))
+    forms = broadcast_if_small(cut(_cluster_map(cut(clusters.select("cluster").distinct()))))
+    mapping = broadcast_if_small(cut(_rebuilt(clusters.join(forms, "cluster"), ["odd"], "form")))
+    return _rebuilt(pieces.join(mapping, "odd", "left").select(*keys, "at", F.coalesce("form", "piece").alias("form")), keys, "folded")
 
 
 def script_of_words(folded: Column) -> Column:
@@ -152,11 +149,11 @@ def canonical(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def twins(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:
     """(table, row_id_a, row_id_b): rows of one table that look the same and differ in their characters."""
-    keys = [table, row_id]
-    rows = df.select(*keys, text).where(F.char_length(text) >= LEAST_CHARS)
-    changed = rows.where(changes(F.col(text)))
-    folded = fold_texts(changed, keys, text).join(changed.select(*keys, F.md5(text).alias("own")), keys).select(*keys, F.md5("folded").alias("form"), "own")
-    same = rows.where(~changes(F.col(text))).select(*keys, F.md5(text).alias("form"), F.md5(text).alias("own"))
+    keys = [table, row_id, "own"]
+    rows = df.where(F.char_length(text) >= LEAST_CHARS).select(table, row_id, F.md5(text).alias("own"), F.when(changes(F.col(text)), F.col(text)).alias(text))
+    rows = cut(rows)
+    folded = fold_texts(rows.where(F.col(text).isNotNull()), keys, text).select(*keys, F.md5("folded").alias("form"))
+    same = rows.where(F.col(text).isNull()).select(*keys, F.col("own").alias("form"))
     hashes = cut(same.unionByName(folded))
     mixed = hashes.groupBy(table, "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(table, "form")
     members = hashes.join(mixed, [table, "form"], "left_semi")
