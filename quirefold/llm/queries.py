@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import language, leakage, lines, markup, mixture, repetition, truncation, twins
+from quirefold.llm import language, leakage, lines, markup, mixture, repetition, scan_noise, truncation, twins
 from quirefold.runtime import read_table
 
 
@@ -98,6 +98,25 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.remove(blocks.select("block_id", "source", "block_content"), "source", "block_content", confirmed).select("block_id", "clean_text")
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls and body-text blocks, jobs, blocks."""
+    body = texts(spark, sf_dir).where("label = 'text'").select("src_table", "row_id", "job_id", "text")
+    jobs, blocks = read_table(spark, sf_dir, "ocr_jobs"), read_table(spark, sf_dir, "parsing_res_list")
+    return body, jobs.select("job_id", "title"), blocks.select("job_id", "block_label", "block_content")
+
+
+def p7_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.inspected(*_scanned(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_noise(spark, sf_dir).where("broken + blots + misread + heads + numbers > 0").select("src_table", "row_id")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise.repaired(*_scanned(spark, sf_dir))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, sf_dir, "documents")
     return mixture.mix(docs, F.col("doc_id"), F.col("text"), F.col("source"), read_table(spark, sf_dir, "source_targets"))
@@ -138,6 +157,9 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_lines": p6_lines,
     "p6_clean": p6_clean,
+    "p7_found": p7_found,
+    "p7_noise": p7_noise,
+    "p7_repaired": p7_repaired,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_mixture": p9_mixture,
