@@ -40,3 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a materialised side whose row count was checked; else left to a shuffle join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over the cores.
+
+    Inputs that already come in at least as many splits as there are cores, which is every large one, stay as they are:
+    no exchange is added to them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
