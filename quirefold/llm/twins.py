@@ -105,7 +105,11 @@ def _cluster_map(pieces: DataFrame) -> DataFrame:
     by_place = F.array_sort(F.transform("xs", lambda x: F.struct(x["at"].alias("at"), x["inner"].alias("inner"), x["o"].alias("o"))))
     joined = F.when(bases > 1, F.array_join(F.transform(by_place, lambda x: x["o"]), "")).otherwise(F.array_join(F.transform("xs", lambda x: x["o"]), ""))
     decomposed = ordered.select("cluster", joined.alias("parts"))
-    known = decomposed.join(compositions, "parts", "left").select("cluster", F.coalesce("whole", "parts").alias("form"))
+    # the longest beginning that composes
+    lengths = F.sequence(F.lit(1), F.char_length("parts"))
+    begun = decomposed.select("cluster", "parts", F.explode(lengths).alias("n")).withColumn("begin", F.left("parts", "n")).join(compositions.withColumnRenamed("parts", "begin"), "begin", "left")
+    known = begun.groupBy("cluster", "parts").agg(F.max(F.when(F.col("whole").isNotNull(), F.struct("n", "whole"))).alias("x"))
+    known = known.select("cluster", F.when(F.col("x").isNull(), F.col("parts")).otherwise(F.concat("x.whole", F.substring("parts", F.col("x.n") + 1, F.char_length("parts")))).alias("form"))
     every = pieces.join(known, "cluster", "left")
     return every.select("cluster", F.coalesce("form", F.lit("")).alias("form"))
 
@@ -126,6 +130,15 @@ def fold_texts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return _rebuilt(pieces.join(mapping, "odd", "left").select(*keys, "at", F.coalesce("form", "piece").alias("form")), keys, "folded")
 
 
+def _stressed(word: Column) -> Column:
+    """Letters composed with a stress mark apart again; Cyrillic has no composed form for them."""
+    for base in "aeopyiAEOYI":
+        for mark in "\u0301\u0300":
+            whole = unicodedata.normalize("NFC", base + mark)
+            word = F.replace(word, F.lit(whole), F.lit(base + mark)) if len(whole) == 1 else word
+    return word
+
+
 def script_of_words(folded: Column) -> Column:
     """Look-alikes back in Cyrillic, where a word has a letter that only Cyrillic has.
 
@@ -135,7 +148,7 @@ def script_of_words(folded: Column) -> Column:
     own, other = rf"[\p{{IsCyrillic}}&&[^{CYRILLIC}]]", rf"[A-Za-z&&[^{CYRILLIC_LATIN}]]"
     latin, cyrillic = CYRILLIC_LATIN + "ëËïÏ", CYRILLIC + "ёЁїЇ"
     mostly = F.size(F.filter(words, lambda w: w.rlike(own))) > F.size(F.filter(words, lambda w: w.rlike(other)))
-    back = F.transform(words, lambda w: F.when(w.rlike(own) | (mostly & ~w.rlike(other)), F.translate(w, latin, cyrillic)).otherwise(w))
+    back = F.transform(words, lambda w: F.when(w.rlike(own) | (mostly & ~w.rlike(other)), F.translate(_stressed(w), latin, cyrillic)).otherwise(w))
     return F.when(folded.rlike(own), F.array_join(back, "")).otherwise(folded)
 
 
