@@ -71,7 +71,7 @@ class ItemIndex:
             for k in range(len(w) - 2):
                 triples[tuple(w[k : k + 3])].append(k)
             self.triples[i] = dict(triples)
-        self.by_size = {}
+        self.by_size, self.needles = {}, {}
         for size, parts in windows.items():
             prints, owner, start = (np.concatenate(p) for p in parts)
             tables = []
@@ -82,6 +82,9 @@ class ItemIndex:
                 first = np.searchsorted(near[order], np.arange(65537))
                 tables.append((first, (order // len(_FLIPS)).astype(np.int64)))
             self.by_size[size] = (prints, owner, start, tables)
+            # a verified match covers a word triple, and so one of these tokens; documents without any are left out
+            triples = (t for i in set(owner.tolist()) for t in self.triples[i])
+            self.needles[size] = frozenset(x for t in triples for x in ([w for w in t if not w.isdigit()] or t))
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
         """Running sums of the weighted bits, one row per bit."""
@@ -151,11 +154,13 @@ def search(index: ItemIndex, docs: list[tuple[int, list[str]]], cache: TokenHash
     ends = np.cumsum(lengths)
     begins = ends - lengths
     sums = index.sums(hash_tokens([t for _, w in docs for t in w], cache))
+    distinct = [set(w) for _, w in docs]
     found: dict[tuple[int, int], set] = defaultdict(set)
     least: dict[tuple[int, int], int] = {}
     for size, (_, owner, start, _) in index.by_size.items():
         step = max(1, size // 6)
-        fits = np.flatnonzero(lengths >= size)
+        needles = index.needles[size]
+        fits = np.array([i for i in np.flatnonzero(lengths >= size).tolist() if not needles.isdisjoint(distinct[i])], dtype=np.int64)
         if not len(fits):
             continue
         counts = (lengths[fits] - size) // step + 1
@@ -199,25 +204,44 @@ def leaks(df: DataFrame, key: Column, text: Column, items: DataFrame, item_key:
     return out.where(F.col("item_share") >= LEAST)
 
 
+def _pieces(words: list[str], overlap: int) -> list[list[str]]:
+    """Parts of a very long document; every stretch of ``overlap`` tokens lies whole in one of them."""
+    if len(words) <= GROUP_TOKENS + overlap:
+        return [words]
+    return [words[i : i + GROUP_TOKENS + overlap] for i in range(0, len(words) - overlap, GROUP_TOKENS)]
+
+
 def _searcher(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, cache = shared.value, TokenHashes()
+        overlap = 2 * max((len(w) for w in index.words.values()), default=0)
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
         for batch in batches:
-            rows, group, size = [], [], 0
-            for doc_id, content in zip(batch["doc_id"], batch["text"]):
+            # of the parts of a document the best match with an item counts
+            best: dict[tuple[int, int], tuple] = {}
+            group, origin, size = [], [], 0
+
+            def finish() -> None:
+                for part, item, share, distance, token in search(index, group, cache):
+                    row, doc_id, offset = origin[part]
+                    if (row, item) not in best or best[row, item][2] < share:
+                        best[row, item] = (doc_id, item, share, distance, token + offset)
+
+            for row, (doc_id, content) in enumerate(zip(batch["doc_id"], batch["text"])):
                 words = tokens(content)
                 if len(words) < SHORTEST:
                     continue
-                group.append((doc_id, words))
-                size += len(words)
-                if size >= GROUP_TOKENS:
-                    rows += search(index, group, cache)
-                    group, size = [], 0
-                    if len(cache) > 200_000:
-                        cache.clear()
+                for n, piece in enumerate(_pieces(words, overlap)):
+                    group.append((len(group), piece))
+                    origin.append((row, doc_id, n * GROUP_TOKENS))
+                    size += len(piece)
+                    if size >= GROUP_TOKENS:
+                        finish()
+                        group, origin, size = [], [], 0
+                        if len(cache) > 200_000:
+                            cache.clear()
             if group:
-                rows += search(index, group, cache)
-            yield pd.DataFrame(rows, columns=columns)
+                finish()
+            yield pd.DataFrame(list(best.values()), columns=columns)
 
     return run

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.llm import language, leakage, lines, markup, mixture, repetition, scan_noise, truncation, twins
-from quirefold.runtime import read_table
+from quirefold.llm import language, leakage, lines, markup, mixture, repetition, scan_noise, truncation, truncation_oracle, twins
+from quirefold.runtime import read_table, spread
 
 
 def language_samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
@@ -20,7 +20,7 @@ MAX_SAMPLES = 20_000
 
 
 def p1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = read_table(spark, sf_dir, "llm_ocr")
+    calls = spread(read_table(spark, sf_dir, "llm_ocr"))
     return repetition.measure(calls, F.col("call_id"), F.col("content"), language_samples(spark, sf_dir)).withColumnRenamed("row_id", "call_id")
 
 
@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), read_table(spark, sf_dir, "eval_items"))
+    return leakage.leaks(spread(read_table(spark, sf_dir, "documents")), F.col("doc_id"), F.col("text"), read_table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = read_table(spark, sf_dir, "parsing_res_list").select(
         F.lit("parsing_res_list").alias("src_table"), F.col("block_id").alias("row_id"), "source", "job_id", F.coalesce("block_label", F.lit("text")).alias("label"), F.col("block_content").alias("text")
     )
-    return calls.unionByName(blocks)
+    return spread(calls.unionByName(blocks))
 
 
 KEYS = ["src_table", "row_id"]
@@ -118,7 +118,7 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return mixture.mix(docs, F.col("doc_id"), F.col("text"), F.col("source"), read_table(spark, sf_dir, "source_targets"))
 
 
@@ -131,7 +131,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = spread(read_table(spark, sf_dir, "documents"))
     return language.documents(docs, F.col("doc_id"), F.col("text"), F.col("lang"), language_samples(spark, sf_dir))
 
 
@@ -140,7 +140,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.segments(read_table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), language_samples(spark, sf_dir))
+    return language.segments(spread(read_table(spark, sf_dir, "documents")), F.col("doc_id"), F.col("text"), language_samples(spark, sf_dir))
 
 
 QUERIES = {
@@ -184,7 +184,10 @@ WITH l AS (
   SELECT source, norm, in_jobs, jobs, occurrences FROM c JOIN j USING (source) WHERE in_jobs >= 4 AND in_jobs * 20 >= jobs
 )
 """.replace("\\\\", "\\")
+_JUDGED = truncation._filled(truncation_oracle.SQL)
 ORACLE: dict[str, str] = {
+    "p5_found": f"SELECT call_id FROM ({_JUDGED}) WHERE is_cut",
+    "p5_sources": f"SELECT coalesce(source, '') AS source, count(*) AS calls, count(*) FILTER (WHERE is_cut) AS cut_calls, count(*) FILTER (WHERE is_cut) / count(*) AS cut_share FROM ({_JUDGED}) GROUP BY 1",
     "p6_found": _LINES + "SELECT block_id, line_no FROM n JOIN k USING (source, norm)",
     "p6_lines": _LINES + "SELECT source, norm, in_jobs, jobs, occurrences FROM k",
 }

@@ -92,17 +92,21 @@ SELECT l.call_id, l.source, s.terminal_rate, s.continued,
     WHEN rlike(l.last_line, r'(?iU)^(#{1,6}\s|=+\s|\W*(chapter|chapitre|kapitel|cap[ií]tulo|глава)\s+\w+|\W*第.{1,8}?[章节回部篇])') THEN s.continued >= CONTINUED
     WHEN rlike(l.last_line, r'^[—–]{1,3}\s*[^\s,，]+(\s[^\s,，]+){0,3}$') AND char_length(l.last_line) <= 40 THEN false
     WHEN startswith(l.last_line, '|') OR contains(l.last_line, '\t') OR contains(l.last_line, '||') THEN false
-    WHEN rlike(l.last_line, LIST) AND NOT (rlike(l.line_before, LIST) AND rlike(l.line_before, r'[.。!?！？…]$')) AND char_length(l.last_line) <= 60 THEN false
+    WHEN rlike(l.last_line, rLIST) AND NOT (rlike(l.line_before, rLIST) AND rlike(l.line_before, r'[.。!?！？…]$')) AND char_length(l.last_line) <= 60 THEN false
     ELSE true
   END AS is_cut
 FROM lines l LEFT JOIN scored s ON s.call_id = l.call_id
 """
 
 
+def _filled(sql: str) -> str:
+    sql = sql.replace("CJK", _CJK).replace("FREQUENT", str(FREQUENT)).replace("TERMINAL_RATE", str(TERMINAL_RATE)).replace("CONTINUED", str(CONTINUED))
+    return sql.replace("LIST", r"'^([-+*•·]|\d{1,3}[.)]|[（(]\d{1,3}[)）])\s*'")
+
+
 def judge(df: DataFrame) -> DataFrame:
     """(call_id, source, terminal_rate, continued, is_cut) of every text; ``df`` has call_id, source, content."""
-    query = SQL.replace("CJK", _CJK).replace("FREQUENT", str(FREQUENT)).replace("TERMINAL_RATE", str(TERMINAL_RATE)).replace("CONTINUED", str(CONTINUED))
-    query = query.replace("LIST", r"r'^([-+*•·]|\d{1,3}[.)]|[（(]\d{1,3}[)）])\s*'")
+    query = _filled(SQL)
     # braces of patterns are not parameters
     query = query.replace("{calls}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{calls}")
     return df.sparkSession.sql(query, calls=df.select("call_id", "source", "content"))

@@ -334,6 +334,9 @@ def test_leaks(spark):
     it = spark.createDataFrame(items, "item_id bigint, text string")
     got = sorted((x.doc_id, x.item_id) for x in leakage.leaks(df, F.col("doc_id"), F.col("text"), it).collect())
     assert got == [(1, 0), (2, 1), (4, 3), (5, 4), (6, 5), (6, 6), (10, 0), (10, 0)]
+    long = " ".join(["filler words of no item"] * 12_000)
+    far = spark.createDataFrame([(1, long + " " + text[7] + " " + long), (2, long)], "doc_id bigint, text string")
+    assert [(x.doc_id, x.item_id) for x in leakage.leaks(far, F.col("doc_id"), F.col("text"), it).collect()] == [(1, 7)]
     assert leakage.leaks(df.limit(0), F.col("doc_id"), F.col("text"), it).count() == 0
     assert leakage.leaks(df, F.col("doc_id"), F.col("text"), it.limit(0)).count() == 0
 
