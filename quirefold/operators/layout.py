@@ -19,7 +19,8 @@ MULTIPLIER, FALLBACK_GAP, ANCHOR = 4.0, 10.0, 80
 def body_blocks(df: DataFrame) -> DataFrame:
     """Blocks that count, with ``content``, ``y1`` and ``y2``.  ``df`` has block_label, block_bbox, block_content."""
     label = F.coalesce("block_label", F.lit("text"))
-    kept = df.where(~label.isin(*IGNORED_LABELS) & (F.size("block_bbox") >= 4) & (T.strip(F.col("block_content")) != ""))
+    # blank content has nothing left after its tags are stripped either
+    kept = df.where(~label.isin(*IGNORED_LABELS) & (F.size("block_bbox") >= 4) & F.col("block_content").isNotNull())
     placed = kept.withColumn("content", T.strip_tags(F.col("block_content"))).withColumn("y1", F.col("block_bbox")[1]).withColumn("y2", F.col("block_bbox")[3])
     return placed.where("content <> '' AND y1 IS NOT NULL AND y2 IS NOT NULL")
 

@@ -12,7 +12,11 @@ HEADER = "# 元数据由识别结果自动生成\n# 请在出版前人工核对\
 
 def split_reply(reply: Column) -> Column:
     """struct(yaml, copyright): before and after the second ``---``; no mark: all copyright, one mark: all YAML from it."""
-    text = T.strip(reply)
+    return split_stripped(T.strip(reply))
+
+
+def split_stripped(text: Column) -> Column:
+    """The same for a reply without white space at either end."""
     first = F.locate("---", text)
     rest = F.substring(text, first + 3, F.char_length(text))
     second = F.locate("---", rest)

@@ -21,6 +21,10 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "parsing_res_list"))
+
+
 def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last delivery of each batch of each job."""
     rows = read_table(spark, sf_dir, "llm_ocr").select("call_id", "job_id", "batch_no", "batch_total", "content")
@@ -100,16 +104,16 @@ def flat_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.body_blocks(read_table(spark, sf_dir, "parsing_res_list")).select("block_id", "content", "y1", "y2")
+    return layout.body_blocks(layout_rows(spark, sf_dir)).select("block_id", "content", "y1", "y2")
 
 
 def layout_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiplier 1.5: boxes of these records are set evenly, so that the usual 4 would find little."""
-    return layout.gaps(read_table(spark, sf_dir, "parsing_res_list"), ["job_id", "page_index"], "block_id", 1.5)
+    return layout.gaps(layout_rows(spark, sf_dir), ["job_id", "page_index"], "block_id", 1.5)
 
 
 def _anchors_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.body_blocks(read_table(spark, sf_dir, "parsing_res_list")).where("block_label = 'text'")
+    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("block_label = 'text'")
     from pyspark.sql import Window
 
     order = Window.partitionBy("job_id", "page_index").orderBy("y1", "block_id")
@@ -119,7 +123,7 @@ def _anchors_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _proof_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of jobs from their blocks, one line a block."""
-    rows = layout.body_blocks(read_table(spark, sf_dir, "parsing_res_list")).where("block_label = 'text'")
+    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("block_label = 'text'")
     return batches.join_texts(rows.withColumn("k", F.struct("page_index", "y1", "block_id")), "job_id", "k", "content", " ", "proof")
 
 
@@ -192,11 +196,11 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata replies with none, one or two marks, made from the documents."""
     head = F.concat(F.lit("---\ntitle: "), F.coalesce("title", F.lit("")), F.lit("\n# note\nsource: "), F.col("source"), F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("author: x\n")).otherwise(F.lit("")))
     reply = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("note\n"), head)).otherwise(F.concat(head, F.lit("---\n\n "), F.col("text")))
-    return read_table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "title", "source")).select("doc_id", T.strip(reply).alias("reply"))
 
 
 def metadata_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _replies(spark, sf_dir).withColumn("x", metadata.split_reply(F.col("reply"))).select("doc_id", F.col("x.yaml").alias("yaml"), F.col("x.copyright").alias("copyright"))
+    split = _replies(spark, sf_dir).withColumn("x", metadata.split_stripped(F.col("reply"))).select("doc_id", F.col("x.yaml").alias("yaml"), F.col("x.copyright").alias("copyright"))
     checked = split.withColumn("v", metadata.validate(F.col("yaml")))
     return checked.select("doc_id", "yaml", "copyright", F.col("v.valid").alias("valid"), F.col("v.hint").alias("hint"), metadata.field_count(F.col("yaml")).alias("fields"), metadata.with_header(F.col("yaml")).alias("completed"))
 
