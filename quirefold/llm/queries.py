@@ -69,7 +69,7 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return truncation.judge(read_table(spark, sf_dir, "llm_ocr"))
+    return truncation.judge(spread(read_table(spark, sf_dir, "llm_ocr")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p5_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str):
-    blocks = read_table(spark, sf_dir, "parsing_res_list")
+    blocks = spread(read_table(spark, sf_dir, "parsing_res_list"))
     return blocks, *lines.excessive(blocks, F.col("block_id"), F.col("source"), F.col("job_id"), F.col("block_content"))
 
 

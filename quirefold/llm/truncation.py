@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from quirefold.runtime import cut
+
 #: a trigram seen at least so often inside texts is judged by itself
 FREQUENT = 20
 #: almost never terminal
@@ -30,30 +32,35 @@ CONTINUED = 20
 
 _CJK = r"\x{3041}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}"
 
-SQL = r"""
+TOKENS = r"""
 WITH body AS (
   SELECT call_id, source, regexp_replace(content, r'\s+\z', '') AS text
   FROM {calls}
   WHERE content IS NOT NULL AND NOT rlike(content, r'\A\s*(\[[^\]\n]*\]\s*)*\z')
 ), split_tokens AS (
-  SELECT call_id, regexp_extract_all(regexp_replace(lower(rtrim('�', text)), r'\p{Nd}+', '0'), r'[CJK]|[\p{L}\p{M}&&[^CJK]]+|0|[^\s\p{L}\p{M}0]', 0) AS tokens
+  SELECT call_id, source, text, regexp_extract_all(regexp_replace(lower(rtrim('�', text)), r'\p{Nd}+', '0'), r'[CJK]|[\p{L}\p{M}&&[^CJK]]+|0|[^\s\p{L}\p{M}0]', 0) AS tokens
   FROM body
-), padded AS (
-  SELECT call_id, concat(array('^', '^'), tokens) AS w FROM split_tokens WHERE size(tokens) > 0
+)
+SELECT call_id, source, concat(array('^', '^'), tokens) AS w, endswith(text, '�') AS broken_end, right(text, 1) AS last_char,
+       trim(element_at(split(text, '\n'), -1)) AS last_line, trim(coalesce(try_element_at(split(text, '\n'), -2), '')) AS line_before
+FROM split_tokens
+"""
+
+#: ``calls`` are the rows of TOKENS, materialised: trigrams, classes and ends all start from them
+SQL = r"""
+WITH padded AS (
+  SELECT call_id, w, transform(w, x -> CASE WHEN rlike(x, r'^\p{L}') THEN 'w' ELSE x END) AS k FROM {calls} WHERE size(w) > 2
 ), ends AS (
-  SELECT call_id, w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c FROM padded
-), places AS (
-  SELECT call_id, w, explode(sequence(0, size(w) - 3)) AS i FROM padded
+  SELECT call_id, w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c, k[size(w) - 3] AS ca, k[size(w) - 2] AS cb, k[size(w) - 1] AS cc FROM padded
 ), trigrams AS (
-  SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i = size(w) - 3 AS terminal FROM places
+  SELECT inline(transform(sequence(0, size(w) - 3), i -> struct(w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i = size(w) - 3 AS terminal))) FROM padded
+), class_trigrams AS (
+  SELECT inline(transform(sequence(0, size(k) - 3), i -> struct(k[i] AS ca, k[i + 1] AS cb, k[i + 2] AS cc, i = size(k) - 3 AS terminal))) FROM padded
 ), classes AS (
-  SELECT CASE WHEN rlike(a, r'^\p{L}') THEN 'w' ELSE a END AS ca,
-         CASE WHEN rlike(b, r'^\p{L}') THEN 'w' ELSE b END AS cb,
-         CASE WHEN rlike(c, r'^\p{L}') THEN 'w' ELSE c END AS cc,
-         count_if(NOT terminal) AS class_inside, count_if(terminal) AS class_ends
-  FROM trigrams GROUP BY 1, 2, 3
+  SELECT ca, cb, cc, count_if(NOT terminal) AS class_inside, count_if(terminal) AS class_ends
+  FROM class_trigrams GROUP BY ca, cb, cc
 ), pairs AS (
-  SELECT DISTINCT a, b FROM ends WHERE rlike(c, r'^\p{L}')
+  SELECT DISTINCT a, b FROM ends WHERE cc = 'w'
 ), following AS (
   SELECT a, b, c, count_if(NOT terminal) AS inside, count_if(terminal) AS ended
   FROM trigrams LEFT SEMI JOIN pairs USING (a, b)
@@ -73,21 +80,14 @@ WITH body AS (
                CASE WHEN x.inside >= FREQUENT THEN (x.ended - 1) / (x.inside + x.ended) END) AS terminal_rate
   FROM ends e
   LEFT JOIN exact x ON x.a = e.a AND x.b = e.b AND x.c = e.c
-  JOIN classes k
-    ON k.ca = CASE WHEN rlike(e.a, r'^\p{L}') THEN 'w' ELSE e.a END
-   AND k.cb = CASE WHEN rlike(e.b, r'^\p{L}') THEN 'w' ELSE e.b END
-   AND k.cc = CASE WHEN rlike(e.c, r'^\p{L}') THEN 'w' ELSE e.c END
-), lines AS (
-  SELECT call_id, source, text, trim(element_at(split(text, '\n'), -1)) AS last_line,
-         trim(coalesce(try_element_at(split(text, '\n'), -2), '')) AS line_before
-  FROM body
+  JOIN classes k ON k.ca = e.ca AND k.cb = e.cb AND k.cc = e.cc
 )
 SELECT l.call_id, l.source, s.terminal_rate, s.continued,
   CASE
-    WHEN endswith(l.text, '�') THEN true
+    WHEN l.broken_end THEN true
     WHEN s.call_id IS NULL THEN false
     WHEN s.terminal_rate >= TERMINAL_RATE AND s.continued < CONTINUED THEN false
-    WHEN rlike(l.text, r'[.。!?！？…)）\]】}>|$`~*=_"”»’」』]\z') THEN false
+    WHEN rlike(l.last_char, r'[.。!?！？…)）\]】}>|$`~*=_"”»’」』]') THEN false
     WHEN rlike(l.last_line, r'(?iU)^\W*(p|pp|page|pág|pag|página|s|seite|стр|с|页|頁|第)?\W*\d+\W*[页頁]?\W*$') THEN false
     WHEN rlike(l.last_line, r'(?iU)^(#{1,6}\s|=+\s|\W*(chapter|chapitre|kapitel|cap[ií]tulo|глава)\s+\w+|\W*第.{1,8}?[章节回部篇])') THEN s.continued >= CONTINUED
     WHEN rlike(l.last_line, r'^[—–]{1,3}\s*[^\s,，]+(\s[^\s,，]+){0,3}$') AND char_length(l.last_line) <= 40 THEN false
@@ -95,7 +95,7 @@ SELECT l.call_id, l.source, s.terminal_rate, s.continued,
     WHEN rlike(l.last_line, rLIST) AND NOT (rlike(l.line_before, rLIST) AND rlike(l.line_before, r'[.。!?！？…]$')) AND char_length(l.last_line) <= 60 THEN false
     ELSE true
   END AS is_cut
-FROM lines l LEFT JOIN scored s ON s.call_id = l.call_id
+FROM {calls} l LEFT JOIN scored s ON s.call_id = l.call_id
 """
 
 
@@ -104,12 +104,15 @@ def _filled(sql: str) -> str:
     return sql.replace("LIST", r"'^([-+*•·]|\d{1,3}[.)]|[（(]\d{1,3}[)）])\s*'")
 
 
+def _run(df: DataFrame, sql: str) -> DataFrame:
+    # braces of patterns are not parameters
+    query = _filled(sql).replace("{calls}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{calls}")
+    return df.sparkSession.sql(query, calls=df)
+
+
 def judge(df: DataFrame) -> DataFrame:
     """(call_id, source, terminal_rate, continued, is_cut) of every text; ``df`` has call_id, source, content."""
-    query = _filled(SQL)
-    # braces of patterns are not parameters
-    query = query.replace("{calls}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{calls}")
-    return df.sparkSession.sql(query, calls=df.select("call_id", "source", "content"))
+    return _run(cut(_run(df.select("call_id", "source", "content"), TOKENS)), SQL)
 
 
 def per_source(judged: DataFrame) -> DataFrame:
