@@ -10,8 +10,8 @@ An exact check follows: sentence ends and closing marks are no cut, nor are clos
 signature, page or note number, list entry among entries without full stops, table row).  A broken last character
 is always a cut.  Failure placeholders and null or blank contents are no cases.
 
-Scale: exact counts are kept only for trigrams that end some text (a join on the trigram before the aggregate, map-side
-combined), class counts are a few thousand rows; hot trigrams are pre-aggregated and never gathered.
+Scale: tokens and trigram counts are materialised once; trigrams are built in the row and combined map-side, so hot ones are never
+gathered; class counts are a few thousand rows.
 
 Defined results: repeated rows are judged each; texts of one or two tokens are padded with ``^``; very long texts
 are read whole; null sources are reported as one source ``''``; other columns are not read.
@@ -46,25 +46,27 @@ SELECT call_id, source, concat(array('^', '^'), tokens) AS w, endswith(text, '
 FROM split_tokens
 """
 
-#: ``calls`` are the rows of TOKENS, materialised: trigrams, classes and ends all start from them
+#: every trigram with its numbers inside and at ends of texts
+COUNTS = r"""
+WITH trigrams AS (
+  SELECT inline(transform(sequence(0, size(w) - 3), i -> struct(w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i = size(w) - 3 AS terminal))) FROM {calls} WHERE size(w) > 2
+)
+SELECT a, b, c, count_if(NOT terminal) AS inside, count_if(terminal) AS ended FROM trigrams GROUP BY a, b, c
+"""
+
+#: ``calls`` are the rows of TOKENS and ``counts`` those of COUNTS, both materialised
 SQL = r"""
-WITH padded AS (
-  SELECT call_id, w, transform(w, x -> CASE WHEN rlike(x, r'^\p{L}') THEN 'w' ELSE x END) AS k FROM {calls} WHERE size(w) > 2
-), ends AS (
-  SELECT call_id, w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c, k[size(w) - 3] AS ca, k[size(w) - 2] AS cb, k[size(w) - 1] AS cc FROM padded
-), trigrams AS (
-  SELECT inline(transform(sequence(0, size(w) - 3), i -> struct(w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i = size(w) - 3 AS terminal))) FROM padded
-), class_trigrams AS (
-  SELECT inline(transform(sequence(0, size(k) - 3), i -> struct(k[i] AS ca, k[i + 1] AS cb, k[i + 2] AS cc, i = size(k) - 3 AS terminal))) FROM padded
+WITH classed AS (
+  SELECT *, CASE WHEN rlike(a, r'^\p{L}') THEN 'w' ELSE a END AS ca, CASE WHEN rlike(b, r'^\p{L}') THEN 'w' ELSE b END AS cb, CASE WHEN rlike(c, r'^\p{L}') THEN 'w' ELSE c END AS cc
+  FROM {counts}
 ), classes AS (
-  SELECT ca, cb, cc, count_if(NOT terminal) AS class_inside, count_if(terminal) AS class_ends
-  FROM class_trigrams GROUP BY ca, cb, cc
+  SELECT ca, cb, cc, sum(inside) AS class_inside, sum(ended) AS class_ends FROM classed GROUP BY ca, cb, cc
+), ends AS (
+  SELECT call_id, w[size(w) - 3] AS a, w[size(w) - 2] AS b, w[size(w) - 1] AS c FROM {calls} WHERE size(w) > 2
 ), pairs AS (
-  SELECT DISTINCT a, b FROM ends WHERE cc = 'w'
+  SELECT DISTINCT a, b FROM ends WHERE rlike(c, r'^\p{L}')
 ), following AS (
-  SELECT a, b, c, count_if(NOT terminal) AS inside, count_if(terminal) AS ended
-  FROM trigrams LEFT SEMI JOIN pairs USING (a, b)
-  GROUP BY a, b, c
+  SELECT a, b, c, inside, ended FROM {counts} LEFT SEMI JOIN pairs USING (a, b)
 ), last_words AS (
   SELECT DISTINCT a, b, c FROM ends
 ), exact AS (
@@ -80,7 +82,10 @@ WITH padded AS (
                CASE WHEN x.inside >= FREQUENT THEN (x.ended - 1) / (x.inside + x.ended) END) AS terminal_rate
   FROM ends e
   LEFT JOIN exact x ON x.a = e.a AND x.b = e.b AND x.c = e.c
-  JOIN classes k ON k.ca = e.ca AND k.cb = e.cb AND k.cc = e.cc
+  JOIN classes k
+    ON k.ca = CASE WHEN rlike(e.a, r'^\p{L}') THEN 'w' ELSE e.a END
+   AND k.cb = CASE WHEN rlike(e.b, r'^\p{L}') THEN 'w' ELSE e.b END
+   AND k.cc = CASE WHEN rlike(e.c, r'^\p{L}') THEN 'w' ELSE e.c END
 )
 SELECT l.call_id, l.source, s.terminal_rate, s.continued,
   CASE
@@ -104,15 +109,18 @@ def _filled(sql: str) -> str:
     return sql.replace("LIST", r"'^([-+*•·]|\d{1,3}[.)]|[（(]\d{1,3}[)）])\s*'")
 
 
-def _run(df: DataFrame, sql: str) -> DataFrame:
+def _run(sql: str, **tables: DataFrame) -> DataFrame:
     # braces of patterns are not parameters
-    query = _filled(sql).replace("{calls}", "\0").replace("{", "{{").replace("}", "}}").replace("\0", "{calls}")
-    return df.sparkSession.sql(query, calls=df)
+    query = _filled(sql).replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        query = query.replace("{{" + name + "}}", "{" + name + "}")
+    return next(iter(tables.values())).sparkSession.sql(query, **tables)
 
 
 def judge(df: DataFrame) -> DataFrame:
     """(call_id, source, terminal_rate, continued, is_cut) of every text; ``df`` has call_id, source, content."""
-    return _run(cut(_run(df.select("call_id", "source", "content"), TOKENS)), SQL)
+    calls = cut(_run(TOKENS, calls=df.select("call_id", "source", "content")))
+    return _run(SQL, calls=calls, counts=cut(_run(COUNTS, calls=calls)))
 
 
 def per_source(judged: DataFrame) -> DataFrame:
