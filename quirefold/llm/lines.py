@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from quirefold.runtime import broadcast_if_small, cut
 
 LEAST_GROUPS, LEAST_SHARE, LEAST_CHARS = 4, 0.05, 20
-#: a sketch with m counters is off by at most 3.5 / m of its input
-SKETCH_ERROR, MOST_COUNTERS = 3.5, 1_000_000
+#: a sketch with m counters is off by at most 3.5 / m of its input; it gives at most MOST_ITEMS items, of which a source with
+#: MOST_COUNTERS counters has at most MOST_COUNTERS / 7 that matter
+SKETCH_ERROR, MOST_COUNTERS, MOST_ITEMS = 3.5, 600_000, 100_000
 
 
 def normal_form(line: Column) -> Column:
@@ -52,7 +53,7 @@ def candidates(lines: DataFrame, jobs: DataFrame) -> DataFrame | None:
     counters = 1 << max(10, int(2 * SKETCH_ERROR * ratio).bit_length())
     if counters > MOST_COUNTERS:
         return None
-    top = hashed.groupBy("source").agg(F.expr(f"approx_top_k(line_hash, {min(counters, 100_000)}, {counters})").alias("top"))
+    top = hashed.groupBy("source").agg(F.expr(f"approx_top_k(line_hash, {min(counters, MOST_ITEMS)}, {counters})").alias("top"))
     hits = top.select("source", F.explode("top").alias("hit")).select("source", F.col("hit.item").alias("line_hash"), F.col("hit.count").alias("n"))
     return hits.join(jobs, "source").where(F.col("n") >= F.col("least")).select("source", "line_hash")
 

@@ -211,6 +211,15 @@ def test_lines_against_brute_force(spark):
         assert cleaned[b] == (None if t is None else "\n".join(x for x in t.split("\n") if len(x) < 20 or (s, norm(x)) not in good))
 
 
+def test_lines_beyond_a_sketch(spark, monkeypatch):
+    rows = [(i, None if i % 2 else "s", f"j{i % 9}", f"the same long line of a site\nanother long line number {i} of text {'x' * (i % 7)}") for i in range(90)]
+    df = spark.createDataFrame(rows, "block_id bigint, source string, job_id string, t string")
+    columns = [F.col(c) for c in ("block_id", "source", "job_id", "t")]
+    sketched = sorted(map(tuple, lines.excessive(df, *columns)[1].collect()))
+    monkeypatch.setattr(lines, "MOST_COUNTERS", 1)
+    assert sketched == sorted(map(tuple, lines.excessive(df, *columns)[1].collect())) and len(sketched) >= 90
+
+
 def test_lines_without_rows(spark):
     df = spark.createDataFrame([], "block_id bigint, source string, job_id string, t string")
     confirmed, found = lines.excessive(df, F.col("block_id"), F.col("source"), F.col("job_id"), F.col("t"))
