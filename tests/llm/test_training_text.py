@@ -59,7 +59,8 @@ def test_histograms_do_not_see_copies():
     """Why the divergence cannot give the share: a text and two copies of it have the same distances."""
     text = "The keeper of the archive had copied the broken seal beside the salt works, so it seems to us now. "
     ref = repetition.References([("en", "The seal of the keeper was broken and it is so")])
-    assert ref.nearest(text)[2] == pytest.approx(ref.nearest(text * 2)[2])
+    once, twice = ref.nearest([text, text * 2])
+    assert once[2] == pytest.approx(twice[2])
 
 
 # 2 markup
