@@ -190,6 +190,11 @@ def page_break(number: Column) -> Column:
     return F.concat(F.lit('<span id="page'), n, F.lit('" class="page-break" epub:type="pagebreak" role="doc-pagebreak" aria-label="'), n, F.lit('"></span>'))
 
 
+def one_line(text: Column) -> Column:
+    """Line feeds shown as ``\\n``, for previews."""
+    return F.replace(text, F.lit("\n"), F.lit("\\n"))
+
+
 def data_uri(mime: str, content: Column) -> Column:
     """Binary content as a data URI without line breaks."""
     return F.concat(F.lit(f"data:{mime};base64,"), F.regexp_replace(F.base64(content), r"\s", ""))

@@ -50,6 +50,21 @@ def resolve_prompt(config: dict, prompts: dict, defaults: dict) -> str | None:
     return prompts.get(defaults.get("prompt_ref")) if defaults.get("prompt_ref") else defaults.get("prompt")
 
 
+def lookup(models: DataFrame, key: str | None, default: str) -> dict:
+    """Configuration of a model by key, environment or default, with its key from the environment; unknown keys are an error.
+
+    The registry is a handful of rows, of which one is read.
+    """
+    wanted = key or os.environ.get("OCR_MODEL") or default
+    row = models.where(F.col("model_key") == wanted).first()
+    if row is None:
+        raise KeyError(f"no model {wanted!r}")
+    config = row.asDict()
+    name = (config.get("api_key_env") or "").strip()
+    config["api_key"] = None if name.lower() in ("", "none", "no", "optional", "false") else os.environ.get(name)
+    return config
+
+
 def layered(builtin: DataFrame, external: DataFrame) -> DataFrame:
     """External rows replace built-in rows of the same key."""
     both = builtin.withColumn("_layer", F.lit(0)).unionByName(external.withColumn("_layer", F.lit(1)))

@@ -213,5 +213,8 @@ SELECT model_key, lower(trim(coalesce(api_key_env, ''))) IN ('', 'none', 'no', '
   array_to_string(list_sort(list_filter(ks, lambda x: x NOT IN ('temperature','top_p','max_tokens','max_completion_tokens','stop','presence_penalty','frequency_penalty','logit_bias','logprobs','top_logprobs','n','seed','stream','stream_options','tools','tool_choice','response_format','user','timeout','extra_headers'))), ',') AS body FROM k""",
     "model_layers": "SELECT model_key, CASE WHEN batch_size > 1 THEN 'external ' || display_name ELSE display_name END AS display_name, batch_size, timeout_s FROM model_configs",
     "model_of_documents": "SELECT d.model_key, any_value(m.content_format) AS content_format, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents d LEFT JOIN model_configs m ON m.model_key = d.model_key GROUP BY d.model_key",
+    "text_report": f"""WITH r AS ({_refine('llm_ocr', 'call_id', 'content')})
+SELECT source, count(*) AS calls, count(DISTINCT job_id) AS jobs, count(*) FILTER (WHERE content IS NULL) AS missing, CAST(sum(length(content)) AS BIGINT) AS chars_in,
+  CAST(sum(length(text_out)) AS BIGINT) AS chars_out, max(replace(left(content, 30), chr(10), '\\n')) AS preview FROM llm_ocr JOIN r USING (call_id) GROUP BY source""",
     "sql_functions": f"SELECT call_id, {double(empty_lines(batch_markers('content')))} AS text_out, regexp_matches(content, {q(f'[{HAN}]')}) AS has_han FROM llm_ocr",
 }

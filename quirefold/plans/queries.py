@@ -254,6 +254,16 @@ def model_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(configs, "model_key", "left").select("model_key", "content_format", "documents", "chars")
 
 
+def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies, batches, pages, missing replies and characters of each source, before and after refinement."""
+    rows = spread(read_table(spark, sf_dir, "llm_ocr").select("call_id", "source", "job_id", "content"))
+    refined = pipeline.refine(rows, "content")
+    return refined.groupBy("source").agg(
+        F.count("*").alias("calls"), F.count_distinct("job_id").alias("jobs"), F.count_if(F.col("content").isNull()).alias("missing"),
+        F.sum(F.char_length("content")).alias("chars_in"), F.sum(F.char_length("text_out")).alias("chars_out"), F.max(T.one_line(F.left("content", F.lit(30)))).alias("preview"),
+    )
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     sqlfuncs.register(spark)
     read_table(spark, sf_dir, "llm_ocr").createOrReplaceTempView("qf_llm_ocr")
@@ -304,5 +314,6 @@ QUERIES = {
     "model_requests": model_requests,
     "model_layers": model_layers,
     "model_of_documents": model_of_documents,
+    "text_report": text_report,
     "sql_functions": sql_functions,
 }

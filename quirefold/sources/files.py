@@ -88,6 +88,15 @@ def write_texts(df: DataFrame, doc: str, text: str, path: str, model_key: str |
     df.select(name.alias("name"), F.col(text).alias("value")).write.partitionBy("name").mode("overwrite").text(path)
 
 
+#: fixed values: name endings of the other outputs
+BREAKS_SUFFIX, PAGES_SUFFIX = ".with_br", "_div"
+
+
+def output_name(path: Column, suffix: str) -> Column:
+    """The name of an input file with a suffix before its extension."""
+    return F.concat(F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]*)?$", 1), F.lit(suffix), F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
+
+
 def write_metadata(df: DataFrame, doc: str, yaml: str, other: str, path: str) -> None:
     """``meta`` for all documents, ``copyright`` for those that have one."""
     df.select(F.col(doc).alias("name"), F.col(yaml).alias("value")).write.partitionBy("name").mode("overwrite").text(f"{path}/meta")

@@ -306,3 +306,37 @@ def test_exchanges(spark, name, most):
     df = entry.queries()[name](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= most
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quirefold.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("a  \n\n\nb, c")
+    main(["refine", str(tmp_path / "in"), str(tmp_path / "out"), "-s", "fullwidth_punct"], spark)
+    assert spark.read.parquet(str(tmp_path / "out")).first().text == "a\nb, c"
+    blocks = [{"block_bbox": [0, y, 1, y + 5], "block_content": f"block {y}"} for y in (0, 10, 20, 30, 100)]
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text(json.dumps({"parsing_res_list": blocks}))
+    main(["gaps", str(tmp_path / "json"), str(tmp_path / "gaps")], spark)
+    assert [(x.prev_tail, x.next_head) for x in spark.read.parquet(str(tmp_path / "gaps")).collect()] == [("block 30", "block 100")]
+    main(["version"])
+    assert capsys.readouterr().out.strip()
+
+
+def test_names_and_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("/a/b/book.txt", 7, "text", "---\ntitle: x", "")], "path string, d int, t string, y string, c string")
+    assert df.select(files.output_name(F.col("path"), files.PAGES_SUFFIX)).first()[0] == "book_div.txt"
+    files.write_texts(df, "d", "t", str(tmp_path / "texts"), "model")
+    assert spark.read.text(str(tmp_path / "texts" / "name=7_model"), wholetext=True).first()[0].strip() == "text"
+    files.write_metadata(df, "d", "y", "c", str(tmp_path / "meta"))
+    assert spark.read.text(str(tmp_path / "meta" / "meta" / "name=7"), wholetext=True).first()[0].strip() == "---\ntitle: x"
+
+
+def test_lookup(spark, monkeypatch):
+    rows = spark.createDataFrame([("m1", "KEY_OF_M1"), ("m2", "none")], "model_key string, api_key_env string")
+    monkeypatch.delenv("OCR_MODEL", raising=False)
+    monkeypatch.setenv("KEY_OF_M1", "secret")
+    assert registry.lookup(rows, None, "m1")["api_key"] == "secret" and registry.lookup(rows, "m2", "m1")["api_key"] is None
+    with pytest.raises(KeyError):
+        registry.lookup(rows, "m3", "m1")
