@@ -176,9 +176,15 @@ def find_all(text: Column, target: Column) -> Column:
     The text is split before every occurrence; positions are the running lengths of the pieces.
     """
     pieces = F.transform(F.split(text, F.concat(F.lit("(?=\\Q"), target, F.lit("\\E)")), F.lit(-1)), F.char_length)
-    inner = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    first = F.when(F.startswith(text, target), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.when((target == "") | (text == ""), F.array().cast("array<int>")).otherwise(F.concat(first, inner))
+    none = F.array().cast("array<int>")
+    running = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("sum"), none.alias("xs")),
+        lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["xs"], acc["sum"] + x).alias("xs")),
+        lambda acc: F.slice(acc["xs"], F.lit(1), F.size(acc["xs"]) - 1),
+    )
+    first = F.when(F.startswith(text, target), F.array(F.lit(0))).otherwise(none)
+    return F.when((target == "") | (text == ""), none).otherwise(F.concat(first, running))
 
 
 def strip_tags(text: Column) -> Column:

@@ -148,7 +148,7 @@ b AS (SELECT job_id, CAST(floor(page_index / 5) AS INT) AS batch, min(page_index
 SELECT job_id, batch, first, last, pages, total, '第' || (first + 1) || '-' || (last + 1) || '页 (共' || total || '页)' AS label FROM b JOIN n USING (job_id)""",
     "raw_pages": f"""WITH w AS (SELECT call_id, regexp_replace(content, '(?m)^={{10,}}[ \\t]*$', repeat('=', 60), 'g') AS t FROM llm_ocr WHERE content IS NOT NULL),
 x AS (SELECT call_id, regexp_split_to_array(t, {q(PAGE_HEADER)})[2:] AS bodies, regexp_extract_all(t, {q(PAGE_HEADER)}, 1) AS nums FROM w)
-SELECT call_id, page_ix, TRY_CAST(num AS INT) AS num, regexp_replace(body, '\\n+$', '') AS content FROM (
+SELECT call_id, page_ix, TRY_CAST(translate(num, '０１２３４５６７８９', '0123456789') AS INT) AS num, regexp_replace(body, '\\n+$', '') AS content FROM (
   SELECT call_id, unnest(bodies) AS body, unnest(nums) AS num, CAST(unnest(range(len(nums))) AS INT) AS page_ix FROM x)""",
     "page_anchors": f"""WITH c AS (SELECT call_id, array_to_string(list_filter(string_split(content, chr(10)), lambda l: {strip('l')} NOT IN ('风眼','风眠','风眸','风语','风起','风云','风铃','风语者')), chr(10)) AS t FROM llm_ocr)
 SELECT call_id, left({strip('t')}, 30) AS head, right({strip('t')}, 30) AS tail, CAST(length(replace(t, chr(10), '')) AS INT) AS flat_chars FROM c""",

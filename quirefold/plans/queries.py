@@ -152,7 +152,8 @@ def aligned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a page break element at the start of every line."""
     starts = F.concat(F.array(F.lit(0)), F.transform(T.find_all(F.col("text"), F.lit("\n")), lambda p: p + 1))
-    return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", align.insert_page_marks(F.col("text"), starts).alias("text_out"))
+    found = docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", "text", starts.alias("starts"))
+    return found.select("doc_id", align.insert_page_marks(F.col("text"), F.col("starts")).alias("text_out"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
