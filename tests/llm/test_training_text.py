@@ -302,6 +302,17 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     assert [x.row_id for x in scan_noise.inspected(df, jobs, blocks).where("misread > 0").collect()] == [30]
 
 
+def test_contexts_beyond_the_broadcast_bound(spark, monkeypatch):
+    common, rare = "山中有一座古老的寺庙。", "河边种着许多杨柳树。"
+    texts = [common] * 40 + [common.replace("古", "□")] * 3 + [rare] * 9 + [rare.replace("柳", "□")]
+    df, jobs, blocks = _scan_tables(spark, [*texts, None])
+    for most in (300_000, 1, 0):
+        monkeypatch.setattr(scan_noise, "MOST_CONTEXTS", most)
+        fixed = {x.row_id: x.repaired for x in scan_noise.repaired(df, jobs, blocks).collect()}
+        assert [fixed[i] for i in range(len(texts))] == [common] * 43 + [rare] * 10
+        assert len(fixed) == len(texts) + 1 and fixed[len(texts)] is None
+
+
 # 8 leakage
 
 
