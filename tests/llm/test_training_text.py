@@ -313,6 +313,19 @@ def test_contexts_beyond_the_broadcast_bound(spark, monkeypatch):
         assert len(fixed) == len(texts) + 1 and fixed[len(texts)] is None
 
 
+def test_neighbours_beyond_the_broadcast_bound(spark, monkeypatch):
+    # "bcar" may be "hear" or "bear": the commoner word is wrong after "brown"
+    texts = ["They never hear anything today."] * 200 + ["That brown bear slept today."] * 100 + ["That brown bcar slept today.", "They never bcar anything today."]
+    df, jobs, blocks = _scan_tables(spark, texts)
+    known = [("bcar", 2, [(1, 200, "hear"), (1, 100, "bear")])]
+    schema = "word string, texts bigint, entries array<struct<edits:int,texts:bigint,entry:string>>"
+    monkeypatch.setattr(scan_noise, "_known", lambda rows: spark.createDataFrame(known, schema))
+    for most in (400_000, 1, 0):
+        monkeypatch.setattr(scan_noise, "MOST_CORRECTIONS", most)
+        fixed = {x.row_id: x.repaired for x in scan_noise.repaired(df, jobs, blocks).collect()}
+        assert [fixed[i] for i in range(len(texts))] == texts[:300] + ["That brown bear slept today.", "They never hear anything today."]
+
+
 # 8 leakage
 
 
