@@ -313,6 +313,15 @@ def test_contexts_beyond_the_broadcast_bound(spark, monkeypatch):
         assert len(fixed) == len(texts) + 1 and fixed[len(texts)] is None
 
 
+def test_misread_characters_without_a_blot(spark, monkeypatch):
+    good = "这是他们的山中小屋。"
+    texts = [good] * 30 + [good.replace("的", "旳"), good.replace("的", "\n旳"), "旳确如此说过了。"]
+    df, jobs, blocks = _scan_tables(spark, texts)
+    for most in (300_000, 0):
+        monkeypatch.setattr(scan_noise, "MOST_CONTEXTS", most)
+        assert sorted(x.row_id for x in scan_noise.inspected(df, jobs, blocks).where("misread > 0").collect()) == [30, 31]
+
+
 def test_neighbours_beyond_the_broadcast_bound(spark, monkeypatch):
     # "bcar" may be "hear" or "bear": the commoner word is wrong after "brown"
     texts = ["They never hear anything today."] * 200 + ["That brown bear slept today."] * 100 + ["That brown bcar slept today.", "They never bcar anything today."]
