@@ -9,8 +9,9 @@ Method
    the 64 bits fall into 4 blocks of 16; two fingerprints within ``RADIUS`` = 7 bits agree in one block up to
    one bit, so looking up each block and its 16 neighbours finds *all* pairs within the radius (pigeonhole).
 3. Each candidate (document, item, alignment) is verified exactly: weighted word triples of the item that stand
-   in the document on the same alignment, give or take a few words, must hold ``LEAST`` of the item's weight
-   (half the item, less the triples that one changed word in ten breaks).
+   in the document on the same alignment, give or take a few words, must hold ``ANYWHERE`` of the item's weight,
+   or ``LEAST`` of it and ``DENSE`` of the words of one stretch of half the item (one changed word in ten breaks some of its
+   triples, and the half may have the lighter words).
 
 The items are a fixed evaluation set, at most ``MAX_ITEM_TOKENS`` tokens in one block; larger sets are worked
 off in several blocks, each sent to the executors as one broadcast variable of bounded size.  Documents are
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.textkit import tokens
 
-FRACTION, RADIUS, LEAST = 0.42, 7, 0.47
+FRACTION, RADIUS, LEAST, ANYWHERE, DENSE, GAP = 0.42, 7, 0.36, 0.47, 0.75, 7
 SIZES = (8, 10, 13, 16, 20, 25, 31, 39, 49, 61, 76, 95, 118, 148, 185, 231, 289, 361, 451, 564)
 SHORTEST = 8
 BLOCKS, BLOCK_BITS = 4, 16
@@ -125,7 +126,7 @@ class ItemIndex:
         return window[near], item_window[near], distance[near].astype(np.int64)
 
     def verify(self, doc: list[str], item: int, shift: int) -> float:
-        """Share of the item's weight in word triples that stand in the document on this alignment."""
+        """Share of the item's weight in word triples that stand in the document on this alignment; 0 for little that is scattered."""
         words = self.words[item]
         n = len(words)
         slack = max(8, n // 6)
@@ -134,8 +135,23 @@ class ItemIndex:
             for p in triples.get((doc[k], doc[k + 1], doc[k + 2]), ()):
                 if abs(k - p - shift) <= slack:
                     covered.update((p, p + 1, p + 2))
-        total = sum(self.weight[w] for w in words)
-        return sum(self.weight[words[p]] for p in covered) / total if total else len(covered) / n
+        weights = [self.weight[w] for w in words]
+        if not any(weights):
+            weights = [1.0] * n
+        share = sum(weights[p] for p in covered) / sum(weights)
+        return share if share >= ANYWHERE or share >= LEAST and _in_one_stretch(covered, n) else 0.0
+
+
+def _in_one_stretch(covered: set[int], n: int) -> bool:
+    """Whether ``covered`` fills ``DENSE`` of a stretch of half the ``n`` words, with no gap wider than ``GAP``."""
+    places, begin = sorted(covered), 0
+    for k, p in enumerate(places):
+        if k and p - places[k - 1] > GAP + 1:
+            begin = k
+        # a changed word takes up to two words with it at either end
+        if 2 * (p + 1 - places[begin]) >= n - 4 and k + 1 - begin >= DENSE * (p + 1 - places[begin]):
+            return True
+    return False
 
 
 class TokenHashes(dict):

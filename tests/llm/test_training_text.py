@@ -356,6 +356,21 @@ def test_blocks_find_all_within_the_radius():
     assert got == {(int(a), int(b)) for a, b in np.argwhere(every <= leakage.RADIUS)}
 
 
+def test_half_an_item_with_changed_words_in_one_stretch(spark):
+    word = lambda kind, i: f"{kind}{chr(97 + i // 10)}{chr(97 + i % 10)}"
+    item = [word("item", i) for i in range(80)]
+    half = [word("changed", i) if i in (8, 17, 25, 33) else w for i, w in enumerate(item[:40])]
+    scattered = [word("other", i) if i % 20 >= 9 else w for i, w in enumerate(item)]
+    fill = [word("fill", i) for i in range(60)]
+    docs = [(1, " ".join(fill + half + fill)), (2, " ".join(fill + scattered + fill)), (3, " ".join(fill + item[:30] + fill))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    it = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(word("else", i) for i in range(80)))], "item_id bigint, text string")
+    got = leakage.leaks(df, F.col("doc_id"), F.col("text"), it).collect()
+    assert [(x.doc_id, x.item_id) for x in got] == [(1, 7)] and 0.36 <= got[0].item_share < 0.47
+    index = leakage.ItemIndex([(7, " ".join(item))])
+    assert index.verify(docs[0][1].split(), 7, 60) > 0.4 and index.verify(docs[1][1].split(), 7, 60) == 0
+
+
 def test_leaks(spark):
     r = random.Random(10)
     words = [f"{a}{b}" for a in "bcdfghklm" for b in ("ana", "oru", "ilt", "ex")] + [f"word{i}" for i in range(400)]
