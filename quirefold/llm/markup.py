@@ -8,7 +8,8 @@
 3. A class is valid if it has at least two tokens, occurs in at least ``LEAST_ROWS`` texts and its tokens first
    appear in the same order in nearly all of them.  Valid classes nest by their spans into the template of the source.
 4. Tokens of valid classes, of whatever source, are the markup vocabulary.  A text holds markup if one of
-   its pieces, complete or broken, has a token of the vocabulary; what the template leaves are the slots.
+   its pieces, complete or broken, has a token of the vocabulary.  The two tokens of one complete piece have equal vectors by
+   construction, so nearly every kind of piece that the lexer knows enters the vocabulary; slots are not extracted.
 
 The lexer is the exact check: comparison and multiplication signs with spaces, prices, file names, note numbers,
 numbering, page numbers, rules of ``=`` and grounding tags are no pieces.
