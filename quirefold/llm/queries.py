@@ -184,9 +184,10 @@ WITH l AS (
   SELECT source, norm, in_jobs, jobs, occurrences FROM c JOIN j USING (source) WHERE in_jobs >= 4 AND in_jobs * 20 >= jobs
 )
 """.replace("\\\\", "\\")
-_JUDGED = truncation._filled(truncation_oracle.SQL)
+_JUDGED = truncation_oracle.SQL
 ORACLE: dict[str, str] = {
     "p5_found": f"SELECT call_id FROM ({_JUDGED}) WHERE is_cut",
+    "p5_calls": _JUDGED,
     "p5_sources": f"SELECT coalesce(source, '') AS source, count(*) AS calls, count(*) FILTER (WHERE is_cut) AS cut_calls, count(*) FILTER (WHERE is_cut) / count(*) AS cut_share FROM ({_JUDGED}) GROUP BY 1",
     "p6_found": _LINES + "SELECT block_id, line_no FROM n JOIN k USING (source, norm)",
     "p6_lines": _LINES + "SELECT source, norm, in_jobs, jobs, occurrences FROM k",

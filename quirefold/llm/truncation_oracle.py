@@ -1,72 +1,44 @@
-"""Problem 5 in DuckDB SQL.
-
-The dialect has no class differences, so characters of scripts without spaces are set apart by spaces before words are taken.
-"""
+"""The detection of cut texts in DuckDB SQL, stated on its own: lines by window functions, rates by joins, numbers written out."""
 
 SQL = r"""
 WITH body AS (
-  SELECT call_id, source, regexp_replace(content, '\s+$', '') AS text
-  FROM llm_ocr
+  SELECT call_id, source, regexp_replace(regexp_replace(content, '\p{Cf}+', '', 'g'), '\s+$', '') AS text FROM llm_ocr
   WHERE content IS NOT NULL AND NOT regexp_matches(content, '^\s*(\[[^\]\n]*\]\s*)*$')
-), split_tokens AS (
-  SELECT call_id, regexp_extract_all(regexp_replace(regexp_replace(lower(rtrim(text, '�')), '\p{Nd}+', '0', 'g'), '([CJK])', ' \1 ', 'g'), '[\p{L}\p{M}]+|0|[^\s\p{L}\p{M}0]') AS tokens
-  FROM body
-), padded AS (
-  SELECT call_id, list_concat(['^', '^'], tokens) AS w FROM split_tokens WHERE len(tokens) > 0
-), ends AS (
-  SELECT call_id, w[len(w) - 2] AS a, w[len(w) - 1] AS b, w[len(w)] AS c FROM padded
-), places AS (
-  SELECT call_id, w, unnest(range(1, len(w) - 1)) AS i FROM padded
+), lined AS (
+  SELECT call_id, source, ends_with(text, '�') AS broken_end,
+         regexp_replace(regexp_replace(lower(rtrim(text, '�')), '[ \t\r]*\n\s*?\n\s*', '¶¶', 'g'), '[ \t\r]*\n[ \t]*', '¶', 'g') AS text FROM body
+), tok AS (
+  SELECT call_id, source, broken_end, regexp_extract_all(regexp_replace(text, '\p{Nd}+|[一二三四五六七八九十百千]+', '0', 'g'), '[\p{L}\p{M}]+|0|¶|\.{4,}|\.{2,3}|…+|[^\s\p{L}\p{M}0]') AS w0 FROM lined
+), marks AS (
+  SELECT m AS mark FROM (SELECT unnest(w0[:-2]) AS m, 0 AS e FROM tok UNION ALL SELECT w0[-1], 1 FROM tok) WHERE m IN ('..', '...', '…', '……') GROUP BY m HAVING sum(e) >= 0.9 * count(*)
+), calls AS (
+  SELECT call_id, source, broken_end, mark IS NOT NULL AS marked, CASE WHEN mark IS NULL THEN w0 ELSE w0[:-2] END AS body, list_concat(['^', '^'], CASE WHEN mark IS NULL THEN w0 ELSE w0[:-2] END) AS w
+  FROM tok LEFT JOIN marks ON mark = w0[-1]
 ), trigrams AS (
-  SELECT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c, i = len(w) - 2 AS terminal FROM places
-), classes AS (
-  SELECT CASE WHEN regexp_matches(a, '^\p{L}') THEN 'w' ELSE a END AS ca,
-         CASE WHEN regexp_matches(b, '^\p{L}') THEN 'w' ELSE b END AS cb,
-         CASE WHEN regexp_matches(c, '^\p{L}') THEN 'w' ELSE c END AS cc,
-         count(*) FILTER (WHERE NOT terminal) AS class_inside, count(*) FILTER (WHERE terminal) AS class_ends
-  FROM trigrams GROUP BY 1, 2, 3
-), pairs AS (
-  SELECT DISTINCT a, b FROM ends WHERE regexp_matches(c, '^\p{L}')
-), following AS (
-  SELECT a, b, c, count(*) FILTER (WHERE NOT terminal) AS inside, count(*) FILTER (WHERE terminal) AS ended
-  FROM trigrams JOIN pairs USING (a, b)
-  GROUP BY a, b, c
-), last_words AS (
-  SELECT DISTINCT a, b, c FROM ends
-), exact AS (
-  SELECT l.a, l.b, l.c,
-         sum(CASE WHEN f.c = l.c THEN f.inside ELSE 0 END) AS inside,
-         sum(CASE WHEN f.c = l.c THEN f.ended ELSE 0 END) AS ended,
-         sum(CASE WHEN f.c <> l.c AND starts_with(f.c, l.c) THEN f.inside ELSE 0 END) AS continued
-  FROM last_words l JOIN following f ON f.a = l.a AND f.b = l.b AND starts_with(f.c, l.c)
-  GROUP BY l.a, l.b, l.c
+  SELECT hash(w) AS h, unnest(list_transform(range(1, len(w) - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2], 'e': i = len(w) - 2})) AS x FROM calls WHERE len(w) > 2
+), counts AS (
+  SELECT *, CASE WHEN regexp_matches(a, '^\p{L}') THEN 'w' ELSE a END AS ca, CASE WHEN regexp_matches(b, '^\p{L}') THEN 'w' ELSE b END AS cb, CASE WHEN regexp_matches(c, '^\p{L}') THEN 'w' ELSE c END AS cc
+  FROM (SELECT x.a AS a, x.b AS b, x.c AS c, count(*) FILTER (NOT x.e) AS inside, count(DISTINCT h) FILTER (x.e) AS ended FROM trigrams GROUP BY ALL)
+), lasts AS (SELECT cc, sum(inside) AS inside, sum(ended) AS ended FROM counts GROUP BY cc
+), classes AS (SELECT ca, cb, cc, sum(inside) AS inside, sum(ended) AS ended FROM counts GROUP BY ca, cb, cc
+), class_rates AS (
+  SELECT ca, cb, cc, (k.ended - 1 + 100 * (l.ended - 1) / greatest(1, l.inside + l.ended - 1)) / (k.inside + k.ended - 1 + 100) AS rate FROM classes k JOIN lasts l USING (cc) WHERE k.ended > 0
 ), scored AS (
-  SELECT e.call_id, coalesce(x.continued, 0) AS continued,
-         least(k.class_ends / (k.class_inside + k.class_ends),
-               CASE WHEN x.inside >= FREQUENT THEN (x.ended - 1) / (x.inside + x.ended) END) AS terminal_rate
-  FROM ends e
-  LEFT JOIN exact x ON x.a = e.a AND x.b = e.b AND x.c = e.c
-  JOIN classes k
-    ON k.ca = CASE WHEN regexp_matches(e.a, '^\p{L}') THEN 'w' ELSE e.a END
-   AND k.cb = CASE WHEN regexp_matches(e.b, '^\p{L}') THEN 'w' ELSE e.b END
-   AND k.cc = CASE WHEN regexp_matches(e.c, '^\p{L}') THEN 'w' ELSE e.c END
+  SELECT a, b, c, CASE WHEN inside >= 20 THEN (ended - 1 + 100 * rate) / (inside + ended - 1 + 100) ELSE (100 * rate) / 100 END AS terminal_rate FROM counts JOIN class_rates USING (ca, cb, cc) WHERE ended > 0
 ), lines AS (
-  SELECT call_id, source, text, trim(string_split(text, chr(10))[-1]) AS last_line,
-         trim(coalesce(string_split(text, chr(10))[-2], '')) AS line_before
-  FROM body
+  SELECT call_id, trim(unnest(string_split(array_to_string(body, ' '), '¶'))) AS line, unnest(range(len(string_split(array_to_string(body, ' '), '¶')))) AS i FROM calls
+), around AS (
+  SELECT call_id, line, i, lead(i) OVER w IS NULL AS is_last, lag(line) OVER w = '' AS after_gap, lead(line) OVER w = '' AS before_gap FROM lines WINDOW w AS (PARTITION BY call_id ORDER BY i)
+), shaped AS (
+  SELECT *, list_transform(string_split(line, ' ')[1:3], lambda x: CASE WHEN regexp_matches(line, '^[^\p{L}0]') AND regexp_matches(x, '^\p{L}') THEN 'w' ELSE x END) AS opening, len(string_split(line, ' ')) <= 4 AS few, regexp_matches(line, '^[^\p{L}0]') AS odd FROM around WHERE line <> ''
+), whole AS (SELECT line FROM shaped WHERE NOT is_last AND few GROUP BY line HAVING count(*) >= 3
+), openings AS (
+  SELECT opening FROM shaped WHERE NOT is_last AND ((i = 0 OR after_gap) AND before_gap OR odd) GROUP BY opening
+  HAVING count(*) >= 5 AND count(*) FILTER (WHERE NOT regexp_matches(line, '[.。!?！？…;；:：]( ["”»’」』)）\]])*$')) >= 0.9 * count(*)
+), closings AS (
+  SELECT DISTINCT call_id FROM shaped WHERE is_last AND (few AND line IN (FROM whole) OR opening IN (FROM openings))
 )
-SELECT l.call_id, l.source, s.terminal_rate, s.continued,
-  CASE
-    WHEN ends_with(l.text, '�') THEN true
-    WHEN s.call_id IS NULL THEN false
-    WHEN s.terminal_rate >= TERMINAL_RATE AND s.continued < CONTINUED THEN false
-    WHEN regexp_matches(l.text, '[.。!?！？…)）\]】}>|$`~*=_"”»’」』]$') THEN false
-    WHEN regexp_matches(l.last_line, '(?i)^[^\p{L}\p{N}_]*(p|pp|page|pág|pag|página|s|seite|стр|с|页|頁|第)?[^\p{L}\p{N}_]*\d+[^\p{L}\p{N}_]*[页頁]?[^\p{L}\p{N}_]*$') THEN false
-    WHEN regexp_matches(l.last_line, '(?i)^(#{1,6}\s|=+\s|[^\p{L}\p{N}_]*(chapter|chapitre|kapitel|cap[ií]tulo|глава)\s+[\p{L}\p{N}_]+|[^\p{L}\p{N}_]*第.{1,8}?[章节回部篇])') THEN s.continued >= CONTINUED
-    WHEN regexp_matches(l.last_line, '^[—–]{1,3}\s*[^\s,，]+(\s[^\s,，]+){0,3}$') AND length(l.last_line) <= 40 THEN false
-    WHEN starts_with(l.last_line, '|') OR contains(l.last_line, chr(9)) OR contains(l.last_line, '||') THEN false
-    WHEN regexp_matches(l.last_line, LIST) AND NOT (regexp_matches(l.line_before, LIST) AND regexp_matches(l.line_before, '[.。!?！？…]$')) AND length(l.last_line) <= 60 THEN false
-    ELSE true
-  END AS is_cut
-FROM lines l LEFT JOIN scored s ON s.call_id = l.call_id
+SELECT c.call_id, c.source, s.terminal_rate, coalesce(s.terminal_rate < 0.01, false) AND NOT c.marked AND g.call_id IS NOT NULL AS closing,
+  c.broken_end OR coalesce(s.terminal_rate < 0.01 AND (c.marked OR g.call_id IS NULL), false) AS is_cut
+FROM calls c LEFT JOIN scored s ON s.a = c.w[-3] AND s.b = c.w[-2] AND s.c = c.w[-1] LEFT JOIN closings g USING (call_id)
 """
