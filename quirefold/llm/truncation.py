@@ -96,11 +96,13 @@ SELECT *, CASE WHEN rlike(a, r'^\p{L}') THEN 'w' ELSE a END AS ca, CASE WHEN rli
 FROM summed
 """
 
-#: rate at ends of each class, drawn towards that of its last token; a text's own end does not count
+#: rate at ends of each class, drawn towards that of its last token; a text's own end does not count, and a token that is rare inside
+#: texts proves nothing
 CLASSES = """
 WITH k AS (SELECT ca, cb, cc, sum(inside) AS inside, sum(ended) AS ended FROM {counts} GROUP BY ca, cb, cc),
 l AS (SELECT cc, sum(inside) AS inside, sum(ended) AS ended FROM k GROUP BY cc)
-SELECT ca, cb, cc, (k.ended - 1 + SMOOTH * (l.ended - 1) / greatest(1, l.inside + l.ended - 1)) / (k.inside + k.ended - 1 + SMOOTH) AS class_rate
+SELECT ca, cb, cc, CASE WHEN l.inside < FREQUENT THEN 1.0D
+       ELSE (k.ended - 1 + SMOOTH * (l.ended - 1) / greatest(1, l.inside + l.ended - 1)) / (k.inside + k.ended - 1 + SMOOTH) END AS class_rate
 FROM k JOIN l USING (cc) WHERE k.ended > 0
 """
 

@@ -22,7 +22,7 @@ WITH body AS (
 ), lasts AS (SELECT cc, sum(inside) AS inside, sum(ended) AS ended FROM counts GROUP BY cc
 ), classes AS (SELECT ca, cb, cc, sum(inside) AS inside, sum(ended) AS ended FROM counts GROUP BY ca, cb, cc
 ), class_rates AS (
-  SELECT ca, cb, cc, (k.ended - 1 + 100 * (l.ended - 1) / greatest(1, l.inside + l.ended - 1)) / (k.inside + k.ended - 1 + 100) AS rate FROM classes k JOIN lasts l USING (cc) WHERE k.ended > 0
+  SELECT ca, cb, cc, CASE WHEN l.inside < 20 THEN 1.0 ELSE (k.ended - 1 + 100 * (l.ended - 1) / greatest(1, l.inside + l.ended - 1)) / (k.inside + k.ended - 1 + 100) END AS rate FROM classes k JOIN lasts l USING (cc) WHERE k.ended > 0
 ), scored AS (
   SELECT a, b, c, CASE WHEN inside >= 20 THEN (ended - 1 + 100 * rate) / (inside + ended - 1 + 100) ELSE (100 * rate) / 100 END AS terminal_rate FROM counts JOIN class_rates USING (ca, cb, cc) WHERE ended > 0
 ), lines AS (
