@@ -47,10 +47,10 @@ WITH body AS (
   WHERE content IS NOT NULL AND NOT rlike(content, r'\A\s*(\[[^\]\n]*\]\s*)*\z')
 ), lined AS (
   SELECT call_id, source, endswith(text, '�') AS broken_end,
-         regexp_replace(regexp_replace(lower(rtrim('�', text)), r'[ \t\r]*\n\s*?\n\s*', '¶¶'), r'[ \t\r]*\n[ \t]*', '¶') AS text FROM body
+         translate(regexp_replace(lower(rtrim('�', text)), r'\n\s*\n\s*', '¶¶'), '\n', '¶') AS text FROM body
 )
 SELECT call_id, source, broken_end,
-       regexp_extract_all(regexp_replace(text, r'\p{Nd}+|[一二三四五六七八九十百千]+', '0'), r'[\p{L}\p{M}]+|0|¶|\.{4,}|\.{2,3}|…+|[^\s\p{L}\p{M}0]', 0) AS w
+       regexp_extract_all(regexp_replace(text, r'[\p{Nd}一二三四五六七八九十百千]+', '0'), r'[\p{L}\p{M}]+|0|¶|\.{4,}|\.{2,3}|…+|[^\s\p{L}\p{M}0]', 0) AS w
 FROM lined
 """
 
@@ -112,17 +112,19 @@ SELECT a, b, c, texts, (CASE WHEN inside >= FREQUENT THEN ended - 1 ELSE 0 END +
 FROM {counts} JOIN {classes} USING (ca, cb, cc) WHERE ended > 0
 """
 
-#: lines inside texts: whether they stand alone, begin with a mark, and end in a closing mark
+#: lines inside texts, few tokens whole, others by their beginning: whether they stand alone or begin with a mark, and end openly
 LINES = r"""
-WITH x AS (SELECT split(array_join(slice(w, 3, size(w)), ' '), ' ?¶ ?') AS lines FROM {calls} WHERE size(w) > 2),
-y AS (SELECT inline(transform(sequence(0, size(lines) - 2), i -> struct(lines[i] AS line, (i = 0 OR lines[greatest(i - 1, 0)] = '') AND lines[i + 1] = '' AS alone))) FROM x WHERE size(lines) > 1)
-SELECT line, BEGINNING AS opening, alone OR rlike(line, r'^[^\p{L}0]') AS telling FROM y WHERE line <> ''
-"""
-WHOLE = "SELECT line FROM {lines} WHERE size(split(line, ' ')) <= LINE_TOKENS GROUP BY line HAVING count(*) >= LEAST_LINES"
-OPENINGS = r"""
-SELECT opening FROM {lines} WHERE telling GROUP BY opening
-HAVING count(*) >= LEAST_OPENINGS AND count_if(NOT rlike(line, r'[.。!?！？…;；:：]( ["”»’」』)）\]])*$')) >= OPEN_SHARE * count(*)
+WITH x AS (SELECT split(array_join(slice(w, 3, size(w)), ' '), ' ?¶ ?') AS lines FROM {calls} WHERE size(w) > 2 AND array_contains(w, '¶')),
+y AS (SELECT inline(transform(sequence(0, size(lines) - 2), i -> struct(lines[i] AS line, (i = 0 OR lines[greatest(i - 1, 0)] = '') AND lines[i + 1] = '' AS alone))) FROM x),
+z AS (
+  SELECT CASE WHEN size(split(line, ' ')) <= LINE_TOKENS THEN line END AS line, CASE WHEN alone OR rlike(line, r'^[^\p{L}0]') THEN BEGINNING END AS opening,
+         NOT rlike(right(line, 20), r'[.。!?！？…;；:：]( ["”»’」』)）\]])*$') AS open
+  FROM y WHERE line <> ''
+)
+SELECT line, opening, open, count(*) AS n FROM z WHERE line IS NOT NULL OR opening IS NOT NULL GROUP BY line, opening, open
 """
+WHOLE = "SELECT line FROM {lines} WHERE line IS NOT NULL GROUP BY line HAVING sum(n) >= LEAST_LINES"
+OPENINGS = "SELECT opening FROM {lines} WHERE opening IS NOT NULL GROUP BY opening HAVING sum(n) >= LEAST_OPENINGS AND sum(CASE WHEN open THEN n ELSE 0 END) >= OPEN_SHARE * sum(n)"
 
 #: first tokens of a line; after a mark words count as words only
 BEGINNING = r"CASE WHEN rlike(line, r'^[\p{L}0]') THEN substring_index(line, ' ', OPENING) ELSE regexp_replace(substring_index(line, ' ', OPENING), r'[\p{L}\p{M}]+', 'w') END"
@@ -159,7 +161,7 @@ def judge(df: DataFrame) -> DataFrame:
     key = ["a", "b", "c"]
     of_text = ends.join(hot, key).unionByName(ends.join(hot, key, "left_anti").join(rated, key))
     suspect = of_text.where(F.col("terminal_rate") < TERMINAL_RATE)
-    lines = _run(LINES, calls=calls)
+    lines = cut(_run(LINES, calls=calls))
     whole = broadcast_if_small(cut(_run(WHOLE, lines=lines)))
     openings = broadcast_if_small(cut(_run(OPENINGS, lines=lines)))
     plain = suspect.where(~F.col("marked"))

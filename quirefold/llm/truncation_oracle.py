@@ -8,7 +8,7 @@ WITH body AS (
   SELECT call_id, source, ends_with(text, '�') AS broken_end,
          regexp_replace(regexp_replace(lower(rtrim(text, '�')), '[ \t\r]*\n\s*?\n\s*', '¶¶', 'g'), '[ \t\r]*\n[ \t]*', '¶', 'g') AS text FROM body
 ), tok AS (
-  SELECT call_id, source, broken_end, regexp_extract_all(regexp_replace(text, '\p{Nd}+|[一二三四五六七八九十百千]+', '0', 'g'), '[\p{L}\p{M}]+|0|¶|\.{4,}|\.{2,3}|…+|[^\s\p{L}\p{M}0]') AS w0 FROM lined
+  SELECT call_id, source, broken_end, regexp_extract_all(regexp_replace(text, '[\p{Nd}一二三四五六七八九十百千]+', '0', 'g'), '[\p{L}\p{M}]+|0|¶|\.{4,}|\.{2,3}|…+|[^\s\p{L}\p{M}0]') AS w0 FROM lined
 ), marks AS (
   SELECT m AS mark FROM (SELECT unnest(w0[:-2]) AS m, 0 AS e FROM tok UNION ALL SELECT w0[-1], 1 FROM tok) WHERE m IN ('..', '...', '…', '……') GROUP BY m HAVING sum(e) >= 0.9 * count(*)
 ), calls AS (
