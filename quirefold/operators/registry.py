@@ -17,37 +17,48 @@ from quirefold.functions import text as T
 
 #: fixed values: request parameters that chat clients take as arguments; all others go into the body
 CLIENT_PARAMETERS = (
-    "temperature", "top_p", "max_tokens", "max_completion_tokens", "stop", "presence_penalty", "frequency_penalty", "logit_bias", "logprobs", "top_logprobs",
-    "n", "seed", "stream", "stream_options", "tools", "tool_choice", "response_format", "user", "timeout", "extra_headers",
+    "model", "messages", "stream", "max_tokens", "temperature", "top_p", "n", "stop", "frequency_penalty", "presence_penalty",
+    "logit_bias", "user", "response_format", "seed", "logprobs", "top_logprobs", "modalities", "tools", "tool_choice", "parallel_tool_calls",
 )
 FALLBACK_MODEL = "siliconflow_deepseek-ocr"
 
 
-def from_toml(spark: SparkSession, *paths: str) -> tuple[DataFrame, str]:
-    """(registry rows, default model) of configuration files; later files override earlier ones model by model."""
-    models, prompts, defaults = {}, {}, {}
+def read_toml(*paths: str) -> dict[str, dict]:
+    """Sections ``defaults``, ``prompts``, ``meta`` and ``models`` of configuration files; later files override entry by entry."""
+    sections: dict[str, dict] = {"defaults": {}, "prompts": {}, "meta": {}, "models": {}}
     for path in paths:
         with open(path, "rb") as f:
             data = tomllib.load(f)
-        prompts.update(data.get("prompts", {}))
-        defaults.update(data.get("defaults", {}) or data.get("default", {}))
-        models.update({k: v for k, v in data.get("models", {}).items() if isinstance(v, dict)})
+        for name, entries in sections.items():
+            entries.update(data.get(name, {}))
+    sections["models"] = {k: v for k, v in sections["models"].items() if isinstance(v, dict)}
+    return sections
+
+
+def from_toml(spark: SparkSession, *paths: str) -> tuple[DataFrame, str]:
+    """(registry rows, default model) of configuration files."""
+    config = read_toml(*paths)
     rows = []
-    for key, config in models.items():
-        prompt = resolve_prompt(config, prompts, defaults)
-        rows.append((key, config.get("name", key), config.get("api_url"), config.get("model_id"), config.get("api_key_env"), config.get("batch_size", 1), config.get("timeout"),
-                     {k: str(v) for k, v in config.get("headers", {}).items()}, json.dumps(config.get("payload_template", {})), config.get("content_format", "openai"), prompt))
-    schema = "model_key string, display_name string, api_url string, model_id string, api_key_env string, batch_size int, timeout_s int, headers map<string,string>, payload_template string, content_format string, prompt_text string"
-    return spark.createDataFrame(rows, schema), os.environ.get("OCR_MODEL") or defaults.get("model") or FALLBACK_MODEL
+    for key, model in config["models"].items():
+        rows.append((key, model.get("name", key), model.get("api_url"), model.get("model_id"), model.get("api_key_env"), model.get("batch_size", 1), model.get("timeout"),
+                     {k: str(v) for k, v in model.get("headers", {}).items()}, json.dumps(model.get("payload_template", {})), model.get("content_format", "openai"),
+                     resolve_prompt(model, config["prompts"], config["defaults"]), model.get("input_mode", "image")))
+    schema = "model_key string, display_name string, api_url string, model_id string, api_key_env string, batch_size int, timeout_s int, headers map<string,string>, payload_template string, content_format string, prompt_text string, input_mode string"
+    return spark.createDataFrame(rows, schema), os.environ.get("OCR_MODEL") or config["defaults"].get("default_model") or FALLBACK_MODEL
+
+
+def meta_prompt(*paths: str) -> str | None:
+    """The prompt for metadata of a book."""
+    return read_toml(*paths)["meta"].get("prompt")
 
 
-def resolve_prompt(config: dict, prompts: dict, defaults: dict) -> str | None:
+def resolve_prompt(model: dict, prompts: dict, defaults: dict) -> str | None:
     """Named prompt, inline prompt, default prompt, none; an empty or dangling name means none."""
-    if "prompt_ref" in config:
-        return prompts.get(config["prompt_ref"]) if config["prompt_ref"] else None
-    if "prompt" in config:
-        return config["prompt"]
-    return prompts.get(defaults.get("prompt_ref")) if defaults.get("prompt_ref") else defaults.get("prompt")
+    if "prompt_ref" in model:
+        return prompts.get(model["prompt_ref"])
+    if "prompt" in model:
+        return model["prompt"]
+    return prompts.get(defaults.get("default_prompt"))
 
 
 def lookup(models: DataFrame, key: str | None, default: str) -> dict:
@@ -73,9 +84,11 @@ def layered(builtin: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def request_body(model_id: Column, template: Column, messages: Column) -> Column:
-    """JSON body: model, messages, and the members of the template, which come last and win."""
-    base = F.map_from_arrays(F.array(F.lit("model"), F.lit("messages")), F.array(F.to_json(F.struct(model_id.alias("x"))), messages))
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.json_object_keys(template), k)), F.from_json(template, "map<string,string>"))
+    """JSON body: model, messages, and the members of the template, which win.  ``messages`` and ``template`` are JSON."""
+    named = lambda name, value: F.when(~F.array_contains(F.json_object_keys(template), name), F.concat(F.lit(f'"{name}":'), value))
+    members = F.regexp_replace(template, r"\A\s*\{\s*|\s*\}\s*\z", "")
+    quoted = F.regexp_replace(F.to_json(F.array(model_id)), r"\A\[|\]\z", "")
+    return F.concat(F.lit("{"), F.concat_ws(",", named("model", quoted), named("messages", messages), F.nullif(members, F.lit(""))), F.lit("}"))
 
 
 def split_parameters(template: Column) -> Column:

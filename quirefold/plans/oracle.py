@@ -118,7 +118,41 @@ _BLOCKS = f"""bb AS (SELECT * FROM (SELECT job_id, page_index, block_id, block_l
   block_bbox[2] AS y1, block_bbox[4] AS y2 FROM parsing_res_list
   WHERE coalesce(block_label, 'text') NOT IN {_LABELS} AND len(block_bbox) >= 4) WHERE content <> '' AND y1 IS NOT NULL AND y2 IS NOT NULL)"""
 
+
+def _pairs(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(length({x}) - 1, 1) + 1), lambda i: substring({x}, i, 2)))"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE (1 + 2 * len(list_intersect({_pairs(a)}, {_pairs(b)})) / (len({_pairs(a)}) + len({_pairs(b)}))) / 2 END"
+
+
+# places of block ends in refined texts: grams of six characters give diagonals, all diagonals with two grams are scored
+_BREAKS = f"""{_BLOCKS}, tb AS (SELECT * FROM bb WHERE coalesce(block_label, 'text') = 'text'),
+jt AS (SELECT job_id, string_agg(content, ' ' ORDER BY page_index, y1, block_id) AS t FROM tb GROUP BY job_id),
+r1 AS (SELECT job_id, {page_markers(batch_markers(grounding('t')))} AS t FROM jt), r2 AS (SELECT job_id, {empty_lines('t')} AS t FROM r1), r3 AS (SELECT job_id, {line_ends('t')} AS t FROM r2),
+{paragraphs('r3', 'job_id', 't')},
+r4 AS (SELECT job_id, {double(single('merged'))} AS t FROM pm), r5 AS (SELECT job_id, {basic('t')} AS t FROM r4), proof AS (SELECT job_id, {spaces('t')} AS refined FROM r5),
+an AS (SELECT job_id, block_id, right(content, 80) AS tail, left(lead(content) OVER (PARTITION BY job_id, page_index ORDER BY y1, block_id), 80) AS head FROM tb),
+ak AS (SELECT * FROM an WHERE head IS NOT NULL),
+tc AS (SELECT job_id, string_split(refined, '') AS cs FROM proof WHERE refined <> ''),
+tg AS (SELECT job_id, unnest(list_transform(range(1, len(cs) + 1), lambda i: {{'p': i, 'g': array_to_string(cs[i:i + 5], '')}})) AS x FROM tc),
+ag AS (SELECT job_id, block_id, unnest(list_transform(range(1, length(tail) - 4, greatest(1, length(tail) // 24)), lambda i: {{'o': i, 'g': substring(tail, i, 6)}})) AS x,
+  len(range(1, length(tail) - 4, greatest(1, length(tail) // 24))) AS n FROM ak WHERE length(tail) >= 6),
+vo AS (SELECT ag.job_id, block_id, greatest(tg.x.p - ag.x.o, 0) AS start FROM ag JOIN tg ON ag.job_id = tg.job_id AND ag.x.g = tg.x.g GROUP BY ag.job_id, block_id, greatest(tg.x.p - ag.x.o, 0), n HAVING count(*) >= least(2, n)
+  UNION ALL SELECT k.job_id, block_id, unnest(list_filter(range(0, length(refined)), lambda i: substring(refined, i + 1, length(tail)) = tail)) FROM ak k JOIN proof USING (job_id) WHERE length(tail) < 6),
+sc AS (SELECT job_id, block_id, start + length(tail) AS e, {_alike('tail', 'substring(refined, start + 1, length(tail))')} AS score, head, substring(refined, start + length(tail) + 1, 400) AS rest
+  FROM vo JOIN ak USING (job_id, block_id) JOIN proof USING (job_id)),
+hd AS (SELECT *, {strip('rest')[:-len(", '', 'g')")].replace("|" + WS + "+$", "")}, '') AS follows FROM sc WHERE score >= 0.75),
+ft AS (SELECT job_id, block_id, e, score, {_alike('head', 'left(follows, length(head))')} AS fit FROM hd WHERE follows <> '' AND instr(rest, left(head, 20)) <= 201),
+bp AS (SELECT job_id, block_id, arg_max(e, (fit, score, -e)) AS place FROM ft WHERE fit >= 0.85 GROUP BY job_id, block_id),
+br AS (SELECT k.job_id, k.block_id, CAST(coalesce(place, -1) AS INT) AS place FROM ak k LEFT JOIN bp USING (job_id, block_id))"""
+
 ORACLE = {
+    "break_places": f"WITH {_BREAKS} SELECT job_id, block_id, place FROM br",
+    "aligned_breaks": f"""WITH {_BREAKS}, li AS (SELECT job_id, list_sort(list_distinct(list(place) FILTER (WHERE place >= 0))) AS ps FROM br GROUP BY job_id)
+SELECT job_id, CAST(coalesce(len(ps), 0) AS INT) AS inserted, array_to_string(list_transform(list_concat([0], coalesce(ps, [])), lambda p, i: substring(refined, p + 1, coalesce(ps[i], length(refined)) - p)), chr(10)) AS text_out
+FROM li JOIN proof USING (job_id)""",
     "refine": _refine("documents", "doc_id", "text"),
     "refine_calls": _refine("llm_ocr", "call_id", "content"),
     "refine_skipping": f"""WITH a AS (SELECT doc_id, {grounding('text')} AS t FROM documents), b AS (SELECT doc_id, {overlaps('t')} AS t FROM a),
@@ -158,7 +192,7 @@ SELECT doc_id, CAST(position AS INT) AS position, CAST(length(replace(left(text,
     "layout_gaps": f"""WITH {_BLOCKS}, g AS (SELECT *, lead(y1) OVER w - y2 AS gap, lead(content) OVER w AS nc FROM bb WINDOW w AS (PARTITION BY job_id, page_index ORDER BY y1, block_id)),
 u AS (SELECT *, coalesce(nullif(median(gap) OVER p, 0), nullif(avg(gap) OVER p, 0), 10.0) AS usual FROM g WINDOW p AS (PARTITION BY job_id, page_index))
 SELECT job_id, page_index, block_id, gap, usual, right(content, 80) AS prev_tail, left(nc, 80) AS next_head FROM u WHERE gap > usual * 1.5""",
-    "exact_breaks": f"""WITH {_BLOCKS}, tb AS (SELECT * FROM bb WHERE block_label = 'text'),
+    "exact_breaks": f"""WITH {_BLOCKS}, tb AS (SELECT * FROM bb WHERE coalesce(block_label, 'text') = 'text'),
 pr AS (SELECT job_id, string_agg(content, ' ' ORDER BY page_index, y1, block_id) AS proof FROM tb GROUP BY job_id),
 an AS (SELECT job_id, block_id, right(content, 80) AS pt, left(lead(content) OVER (PARTITION BY job_id, page_index ORDER BY y1, block_id), 80) AS nh FROM tb),
 x AS (SELECT job_id, block_id, pt, nh, proof, instr(proof, pt) AS pos FROM an JOIN pr USING (job_id) WHERE nh IS NOT NULL)
@@ -209,8 +243,10 @@ SELECT job_id, coalesce(arg_min(name, poll_id) FILTER (WHERE ends_with(name, 'fu
     "model_requests": """WITH k AS (SELECT *, json_keys(payload_template) AS ks FROM model_configs)
 SELECT model_key, lower(trim(coalesce(api_key_env, ''))) IN ('', 'none', 'no', 'optional', 'false') AS no_auth, CAST(coalesce(cardinality(headers), 0) AS INT) AS n_headers, coalesce(prompt_text, '') AS prompt,
   replace(api_url, '/chat/completions', '') AS base_url,
-  array_to_string(list_sort(list_filter(ks, lambda x: x IN ('temperature','top_p','max_tokens','max_completion_tokens','stop','presence_penalty','frequency_penalty','logit_bias','logprobs','top_logprobs','n','seed','stream','stream_options','tools','tool_choice','response_format','user','timeout','extra_headers'))), ',') AS arguments,
-  array_to_string(list_sort(list_filter(ks, lambda x: x NOT IN ('temperature','top_p','max_tokens','max_completion_tokens','stop','presence_penalty','frequency_penalty','logit_bias','logprobs','top_logprobs','n','seed','stream','stream_options','tools','tool_choice','response_format','user','timeout','extra_headers'))), ',') AS body FROM k""",
+  array_to_string(list_sort(list_filter(ks, lambda x: x IN ('model','messages','stream','max_tokens','temperature','top_p','n','stop','frequency_penalty','presence_penalty','logit_bias','user','response_format','seed','logprobs','top_logprobs','modalities','tools','tool_choice','parallel_tool_calls'))), ',') AS arguments,
+  array_to_string(list_sort(list_filter(ks, lambda x: x NOT IN ('model','messages','stream','max_tokens','temperature','top_p','n','stop','frequency_penalty','presence_penalty','logit_bias','user','response_format','seed','logprobs','top_logprobs','modalities','tools','tool_choice','parallel_tool_calls'))), ',') AS body FROM k""",
+    "request_bodies": """SELECT model_key, array_to_string(list_sort(list_distinct(list_concat(['messages', 'model'], json_keys(payload_template)))), ',') AS members, model_id AS model, coalesce(prompt_text, '') AS prompt,
+  TRY_CAST(json_extract_string(payload_template, '$.max_tokens') AS INT) AS max_tokens FROM model_configs""",
     "model_layers": "SELECT model_key, CASE WHEN batch_size > 1 THEN 'external ' || display_name ELSE display_name END AS display_name, batch_size, timeout_s FROM model_configs",
     "model_of_documents": "SELECT d.model_key, any_value(m.content_format) AS content_format, count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents d LEFT JOIN model_configs m ON m.model_key = d.model_key GROUP BY d.model_key",
     "text_report": f"""WITH r AS ({_refine('llm_ocr', 'call_id', 'content')})

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirefold.functions import sqlfuncs
 from quirefold.functions import text as T
 from quirefold.operators import align, batches, jobs, layout, metadata, registry
 from quirefold.plans import pipeline
-from quirefold.runtime import broadcast_if_small, read_table, spread
+from quirefold.runtime import broadcast_if_small, cut, read_table, spread
 from quirefold.sources import files, payloads
 
 
@@ -113,40 +113,49 @@ def layout_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _anchors_of_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("block_label = 'text'")
-    from pyspark.sql import Window
-
+    """End of each block of running text, and the beginning of the next one on its page."""
+    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("coalesce(block_label, 'text') = 'text'")
     order = Window.partitionBy("job_id", "page_index").orderBy("y1", "block_id")
-    pairs = rows.select("job_id", "page_index", "block_id", "content", F.lead("content").over(order).alias("following"))
-    return pairs.where("following IS NOT NULL").select("job_id", "page_index", "block_id", F.right("content", F.lit(80)).alias("prev_tail"), F.left("following", F.lit(80)).alias("next_head"))
+    narrow = rows.select("job_id", "page_index", "block_id", "y1", F.right("content", F.lit(80)).alias("prev_tail"), F.left("content", F.lit(80)).alias("head"))
+    return narrow.withColumn("next_head", F.lead("head").over(order)).where("next_head IS NOT NULL").select("job_id", "page_index", "block_id", "prev_tail", "next_head")
 
 
-def _proof_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of jobs from their blocks, one line a block."""
-    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("block_label = 'text'")
+def _joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of jobs from their blocks of running text."""
+    rows = layout.body_blocks(layout_rows(spark, sf_dir)).where("coalesce(block_label, 'text') = 'text'")
     return batches.join_texts(rows.withColumn("k", F.struct("page_index", "y1", "block_id")), "job_id", "k", "content", " ", "proof")
 
 
 def exact_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that stand exactly in the text of their job, with the place between them."""
-    pairs = _anchors_of_jobs(spark, sf_dir).join(_proof_texts(spark, sf_dir), "job_id")
+    pairs = _anchors_of_jobs(spark, sf_dir).join(_joined_blocks(spark, sf_dir), "job_id")
     place = align.exact_position(F.col("proof"), F.col("prev_tail"), F.col("next_head"))
     return pairs.select("job_id", "block_id", place.cast("int").alias("place"))
 
 
+def _proof_breaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Refined texts of jobs, and the places in them of the ends of the raw blocks."""
+    proof = cut(pipeline.refine(spread(_joined_blocks(spark, sf_dir)), "proof", "refined", skip="dedup").select("job_id", "refined"))
+    return proof, align.place_breaks(proof, _anchors_of_jobs(spark, sf_dir), "job_id", "refined", "block_id")
+
+
+def break_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of the end of each raw block in the refined text of its job, exact or similar; -1 where none fits."""
+    return _proof_breaks(spark, sf_dir)[1]
+
+
 def aligned_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of jobs with a line break at each anchor, exact or similar."""
-    anchors = _anchors_of_jobs(spark, sf_dir).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("page_index", "block_id", "prev_tail", "next_head"))).alias("anchors"))
-    placed = align.positions(_proof_texts(spark, sf_dir).join(anchors, "job_id"), "proof", "anchors")
-    return placed.select("job_id", F.size(F.array_distinct(F.filter("places", lambda p: p >= 0))).alias("inserted"), align.insert_breaks(F.col("proof"), F.col("places")).alias("text_out"))
+    """Refined texts of jobs with a line break at the end of each raw block."""
+    proof, found = _proof_breaks(spark, sf_dir)
+    listed = found.groupBy("job_id").agg(F.array_sort(F.collect_set(F.when(F.col("place") >= 0, F.col("place")))).alias("places"))
+    return proof.join(listed, "job_id").select("job_id", F.size("places").alias("inserted"), align.insert_breaks(F.col("refined"), F.col("places")).alias("text_out"))
 
 
 def aligned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of raw pages in the joined text of their job."""
-    raw = read_table(spark, sf_dir, "llm_ocr").where("content IS NOT NULL").select("call_id", "job_id", "batch_no", "content")
-    last = batches.latest(raw, ["job_id", "batch_no"], ["call_id"])
-    pages = last.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("batch_no", "content"))), lambda x: x["content"]).alias("pages"))
-    return align.page_spans(pages.withColumn("text", F.array_join("pages", "\n\n")), "job_id", "text", "pages")
+    """Spans of raw replies in the refined text of their job."""
+    pages = delivered(spark, sf_dir).where("content IS NOT NULL").select("job_id", "batch_no", "content")
+    texts = pipeline.refine(spread(batches.join_texts(pages, "job_id", "batch_no", "content")), "full_text", "refined")
+    return align.page_spans(texts.select("job_id", "refined"), pages, "job_id", "refined", "batch_no", "content")
 
 
 def page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,6 +250,16 @@ def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request bodies of one message a model, read again: members, model, and the text of the message."""
+    text = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.coalesce("prompt_text", F.lit("")).alias("content"))))
+    rows = read_table(spark, sf_dir, "model_configs").select("model_key", registry.request_body(F.col("model_id"), F.col("payload_template"), text).alias("body"))
+    return rows.select(
+        "model_key", F.array_join(F.array_sort(F.json_object_keys("body")), ",").alias("members"), F.get_json_object("body", "$.model").alias("model"),
+        F.get_json_object("body", "$.messages[0].content").alias("prompt"), F.get_json_object("body", "$.max_tokens").try_cast("int").alias("max_tokens"),
+    )
+
+
 def model_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built-in configurations overridden by external ones of the same key."""
     rows = read_table(spark, sf_dir, "model_configs").select("model_key", "display_name", "batch_size", "timeout_s")
@@ -299,6 +318,7 @@ QUERIES = {
     "layout_blocks": layout_blocks,
     "layout_gaps": layout_gaps,
     "exact_breaks": exact_breaks,
+    "break_places": break_places,
     "aligned_breaks": aligned_breaks,
     "aligned_pages": aligned_pages,
     "page_marks": page_marks,
@@ -313,6 +333,7 @@ QUERIES = {
     "page_ranges": page_ranges,
     "archive_members": archive_members,
     "model_requests": model_requests,
+    "request_bodies": request_bodies,
     "model_layers": model_layers,
     "model_of_documents": model_of_documents,
     "text_report": text_report,

@@ -124,36 +124,38 @@ def test_latest_delivery(spark):
     assert {(x.job, x.b, x.t) for x in batches.latest(df, ["job", "b"], ["id"]).collect()} == {("j", 1, "new"), ("j", 2, None), (None, 1, "x")}
 
 
-def _windows(text, target, start, threshold):
-    """Every window scored, without bounds."""
-    at = text.find(target, start)
-    if at >= 0:
-        return at, len(target)
-    best, place, n = 0.0, (-1, 0), len(target)
-    if start + n > len(text):
-        return place
-    for size in range(max(1, int(n * 0.8)), min(len(text) - start, int(n * 1.2)) + 1):
-        for i in range(start, len(text) - size + 1, max(1, size // 5)):
-            score = SequenceMatcher(None, target, text[i : i + size]).ratio()
-            if score > best:
-                best, place = score, (i, size)
-                if best > 0.95:
-                    return place
-    return place if best >= threshold else (-1, 0)
-
-
-def test_bounded_search_changes_nothing():
+def _dice(a, b):
+    pairs = lambda x: {x[i : i + 2] for i in range(max(1, len(x) - 1))}
+    x, y = pairs(a), pairs(b)
+    return 1.0 if a == b else (1 + 2 * len(x & y) / (len(x) + len(y))) / 2
+
+
+def test_places_against_all_windows(spark):
+    """Every window of every text is scored here; a place as good is found, give or take one pair and a shift by two characters."""
     r = random.Random(11)
-    for _ in range(150):
-        text = "".join(r.choice("abcde ") for _ in range(r.randint(1, 120)))
-        a = r.randint(0, len(text))
-        target = list(text[a : a + 20]) or ["a"]
-        for _ in range(r.randint(0, 5)):
-            target[r.randrange(len(target))] = r.choice("abcxyz")
-        target = "".join(target)
-        start = r.randint(0, 10)
-        if start < len(text):
-            assert align.closest_window(text, target, start, 0.72) == _windows(text, target, start, 0.72)
+    words = ["river", "ledger", "очень", "старый", "图书", "馆在山", "harbour", "clerk", "1849", "rope"]
+    texts, anchors, best = [], [], {}
+    for d in range(40):
+        text = " ".join(r.choice(words) + str(r.randint(0, 99)) for _ in range(r.choice((5, 40, 400))))
+        texts.append((d, text))
+        for k in range(3):
+            at = r.randrange(max(1, len(text) - 60))
+            target = list(text[at : at + 60])
+            for _ in range(r.randint(0, 4)):
+                target[r.randrange(len(target))] = r.choice("abcxyz")
+            target = "".join(target)
+            anchors.append((d, k, target))
+            scores = [(_dice(target, text[i : i + len(target)]), -i) for i in range(len(text) - len(target) + 1)]
+            best[d, k] = (-max(scores)[1], max(scores)[0]) if scores else None
+    found = align.places(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(anchors, "d int, k int, a string"), "d", "t", "k", "a", 0.75)
+    got = {}
+    for x in found.collect():
+        got.setdefault((x.d, x.k), {})[x.start] = x.score
+        assert dict(texts)[x.d][x.start + len(x.anchor) :].startswith(x.after)
+    for key, top in best.items():
+        if top and top[1] >= 0.85:
+            place, score = max(got[key].items(), key=lambda x: (x[1], -x[0]))
+            assert abs(place - top[0]) <= 2 and top[1] - 0.03 <= score <= top[1] + 1e-12
 
 
 def test_breaks_and_marks(spark):
@@ -163,22 +165,28 @@ def test_breaks_and_marks(spark):
     assert marked.count("<span") == 3 and marked.index('id="page7"') < marked.index("ab") < marked.index('id="page8"') < marked.index('id="page9"') < marked.index("cd")
 
 
-def test_insert_position():
+def test_place_breaks(spark):
     text = "The end of the first part.\nThe second part starts here and goes on."
-    assert align.insert_position(text, "first part.", "The second part") == 26
-    assert align.insert_position(text, "frst part.", "The second part") == 26
-    assert align.insert_position(text, "first part.", "Nothing alike at all") == -1
-    assert align.insert_position(None, "x", "y") == align.insert_position("x", "", "y") == -1
+    texts = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x" * 2000 + text)], "d int, t string").withColumn("score", F.lit(1))
+    anchors = [(1, "first part.", "The second part"), (2, "frst part. of", "x"), (3, "x", "")]
+    rows = [(d, 10 * d + k, a, b) for d in (1, 2, 3, 4) for k, a, b in anchors]
+    rows += [(1, 101, "end of the fxrst part.", "The second part"), (1, 102, "first part.", "Nothing alike at all"), (1, 103, "", "The"), (1, 104, None, None), (1, 105, "The end of the first part.", ""), (1, 106, "goes", "on"), (1, 107, "here", None)]
+    got = {x.k: x.place for x in align.place_breaks(texts, spark.createDataFrame(rows, "d int, k int, prev_tail string, next_head string"), "d", "t", "k").collect()}
+    assert got[11] == got[101] == 26 and got[41] == 2026 and got[102] == got[103] == got[104] == got[21] == got[31] == got[12] == -1
+    assert got[105] == 26 and got[106] == text.index(" on.") and got[107] == text.index(" and goes") and len(got) == len(rows)
 
 
 def test_page_spans(spark):
     pages = ["first page text begins here and ends there", "second page text goes on for a while", "third page closes the whole matter now"]
     proof = "first page text begins\nhere and ends there\nsecond page text goes on\nfor a while third page closes the whole matter now"
-    df = spark.createDataFrame([(1, proof, pages), (2, None, pages), (3, "x", [])], "d int, t string, p array<string>")
-    got = [tuple(x) for x in align.page_spans(df, "d", "t", "p").orderBy("page_ix").collect()]
-    assert [(d, i) for d, i, *_ in got] == [(1, 0), (1, 1), (1, 2)]
+    texts = spark.createDataFrame([(1, proof), (2, None), (3, "x")], "d int, t string")
+    rows = spark.createDataFrame([(d, i, p) for d in (1, 2) for i, p in enumerate(pages)] + [(3, 0, None)], "d int, i int, p string")
+    got = [tuple(x) for x in align.page_spans(texts, rows, "d", "t", "i", "p").orderBy("d", "i").collect()]
+    assert [(d, i) for d, i, *_ in got] == [(1, 0), (1, 1), (1, 2), (3, 0)] and got[3][2:] == (0, 1)
     # line breaks make the match a similar one, which may be off by a letter
     assert abs(got[1][2] - proof.index("second")) <= 1 and abs(got[2][2] - proof.index("third")) <= 1 and got[2][3] == len(proof)
+    flat = spark.createDataFrame([("ab\ncd\n",)], "t string").select(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: align.original_position(align.line_ends(F.col("t")), i)).alias("x")).first().x
+    assert flat == [0, 1, 3, 4, 6]
 
 
 def test_metadata(spark):
@@ -268,9 +276,10 @@ def test_connectors(spark):
 
 
 def test_registry(spark, tmp_path):
-    (tmp_path / "a.toml").write_text('[defaults]\nmodel = "m1"\nprompt_ref = "p"\n[prompts]\np = "Read."\n[models.m1]\nname = "One"\n[models.m2]\nprompt_ref = ""\n[models.m3]\nprompt = "inline"\npayload_template = {a = 1}\n')
+    (tmp_path / "a.toml").write_text('[defaults]\ndefault_model = "m1"\ndefault_prompt = "p"\n[meta]\nprompt = "Title page."\n[prompts]\np = "Read."\n[models.m1]\nname = "One"\n[models.m2]\nprompt_ref = ""\n[models.m3]\nprompt = "inline"\npayload_template = {a = 1}\n')
     (tmp_path / "b.toml").write_text('[models.m2]\nname = "Two"\nprompt_ref = "gone"\n')
     rows, default = registry.from_toml(spark, str(tmp_path / "a.toml"), str(tmp_path / "b.toml"))
+    assert registry.meta_prompt(str(tmp_path / "a.toml"), str(tmp_path / "b.toml")) == "Title page." and len(set(registry.CLIENT_PARAMETERS)) == 20
     got = {x.model_key: (x.display_name, x.prompt_text) for x in rows.collect()}
     assert got == {"m1": ("One", "Read."), "m2": ("Two", None), "m3": ("m3", "inline")} and default == "m1"
     two = registry.layered(rows, rows.where("model_key = 'm1'").withColumn("display_name", F.lit("new")))
