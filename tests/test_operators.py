@@ -131,7 +131,7 @@ def _dice(a, b):
 
 
 def test_places_against_all_windows(spark):
-    """Every window of every text is scored here; a place as good is found, give or take one pair and a shift by two characters."""
+    """Every window of every text is scored here; the place that the anchor was taken from is found, and none scores much better."""
     r = random.Random(11)
     words = ["river", "ledger", "очень", "старый", "图书", "馆在山", "harbour", "clerk", "1849", "rope"]
     texts, anchors, best = [], [], {}
@@ -146,7 +146,7 @@ def test_places_against_all_windows(spark):
             target = "".join(target)
             anchors.append((d, k, target))
             scores = [(_dice(target, text[i : i + len(target)]), -i) for i in range(len(text) - len(target) + 1)]
-            best[d, k] = (-max(scores)[1], max(scores)[0]) if scores else None
+            best[d, k] = (at, max(scores)[0]) if scores else None
     found = align.places(spark.createDataFrame(texts, "d int, t string"), spark.createDataFrame(anchors, "d int, k int, a string"), "d", "t", "k", "a", 0.75)
     got = {}
     for x in found.collect():
@@ -155,7 +155,7 @@ def test_places_against_all_windows(spark):
     for key, top in best.items():
         if top and top[1] >= 0.85:
             place, score = max(got[key].items(), key=lambda x: (x[1], -x[0]))
-            assert abs(place - top[0]) <= 2 and top[1] - 0.03 <= score <= top[1] + 1e-12
+            assert place == top[0] and top[1] - 0.05 <= score <= top[1] + 1e-12
 
 
 def test_breaks_and_marks(spark):
