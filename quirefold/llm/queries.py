@@ -56,6 +56,10 @@ def p2_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.templates(texts(spark, sf_dir), KEYS, "source", "text")
 
 
+def p2_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.slots(texts(spark, sf_dir), KEYS, "source", "text")
+
+
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_texts(texts(spark, sf_dir), KEYS, "text")
 
@@ -148,6 +152,7 @@ QUERIES = {
     "p1_repetition": p1_repetition,
     "p2_found": p2_found,
     "p2_templates": p2_templates,
+    "p2_slots": p2_slots,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,

@@ -69,6 +69,7 @@ def test_histograms_do_not_see_copies():
 MARKED = [
     "<p>a</p>", "<b>x</b> y", "a &amp; b", "x<br>y", "**bold** word", "a ~~b~~ c", "# Title\nx", "> quoted", "- **x**\n- **y**", "== Part ==\nx", "[[a|b]] c", "{{note|x|p=1}} y", "'''b''' c",
     r"\section{A} b", r"\begin{itemize}\item a\end{itemize}", r"\[ x^2 \]", "$x_{1}$ y", "$$ a $$", "```\ncode\n```", "| a | b |\n| --- | --- |", "[a](http://x.y)", "![](i.png)", "`x` y", r"\emph{a} b",
+    "# T\n> q **b** c ~~d~~ &amp; e<br>f", "{{n}} [[a]] == b ==\n{| x |}",
 ]
 PLAIN = ["a < b and b > a", "5 * 3 = 15", "costs $409 and $2", "file page_12_final", "see [12]", "====================\n第 1 页 (共 2 页)\n====================", "~ 12 ~", "- 12 -", "Part ........ 12", "No. #941", "Smith & Sons", "1) first\n2) second", "<|ref|>text<|/ref|> <|det|>[[1,2,3,4]]<|/det|>", "", None]
 
@@ -81,8 +82,23 @@ def test_markup_found_and_not(spark):
         assert (n in found) == (i < 3 * len(MARKED)), v
 
 
+def test_families_without_a_template_are_no_markup(spark):
+    """Marks that never come with a partner, nor in a text that has a template, are no markup of this corpus."""
+    texts = ["# one", "# two", "> three", "# four\n> five"] * 5
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id bigint, source string, text string")
+    assert markup.pieces_of_markup(df, ["id"], "source", "text").count() == 0
+    mixed = df.unionByName(spark.createDataFrame([(100 + i, "s", "# T\n<b>x</b>") for i in range(3)], df.schema))
+    assert {x.id for x in markup.pieces_of_markup(mixed, ["id"], "source", "text").collect()} == {i for i, t in enumerate(texts) if "#" in t} | {100, 101, 102}
+
+
+def test_slots(spark):
+    df = spark.createDataFrame([(i, "s", f"<p>name {i}</p><b>k</b> tail") for i in range(4)] + [(9, None, None), (10, "s", "")], "id bigint, source string, text string")
+    rows = [tuple(x) for x in markup.slots(df, ["id"], "source", "text").select("id", "token", "slot").orderBy("id", "place").collect()]
+    assert rows[:3] == [(0, "<p", "name 0"), (0, "<b", "k"), (0, "</b", " tail")] and len(rows) == 12
+
+
 def test_broken_markup_is_found(spark):
-    whole = ["<td>a</td>", "**a** b", "[[a]] b", r"\emph{a} b", "x &nbsp; y"] * 40
+    whole = ["<td>a</td>", "**a** b", "[[a]] b", r"\emph{a} b", "x &nbsp; y", "<td>a &amp; b</td>"] * 40
     broken = ["a <td", "x **a", "b [[a", r"\emph{a", "x &nbsp y", "</td> b"]
     df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(whole + broken)], "id bigint, source string, text string")
     found = {x.id for x in markup.pieces_of_markup(df, ["id"], "source", "text").collect()}
