@@ -36,14 +36,11 @@ GROUP, CLEAR = 4, 0.5
 FRAME_BYTES = 8
 #: sentences with fewer letters are too short to tell
 MIN_LETTERS, MIN_CJK = 12, 5
-#: pieces of so many characters are not counted letter by letter; if they hold none, no dictionary wins them
-LONG = 60
 #: raw content kept per language: the most that one dictionary window uses at this level
 MAX_DICTIONARY = 110_000
 SEGMENT_SCHEMA = "doc_id bigint, segment int, first_sentence int, sentences int, lang_code string, confidence double"
 
 _SENTENCE = re.compile(r"[^.!?。！？…\n]+(?:[.!?。！？…]+[)\]”’»」』）]*|\n|$)")
-_LETTER = re.compile(r"[^\W\d_]")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿]")
 
 #: fixed values: usual notations of the languages of the corpus (ISO 639-1, 639-2, names)
@@ -94,7 +91,7 @@ class Classifier:
         text = BROKEN.sub("", BANNER.sub("\n", text))
         pieces, out = [], []
         for piece in _SENTENCE.findall(text):
-            letters = len(piece) if len(piece) >= LONG else len(_LETTER.findall(piece))
+            letters = sum(map(str.isalpha, piece))
             if letters >= MIN_LETTERS or letters >= MIN_CJK and _DENSE.search(piece):
                 pieces.append((piece, letters))
         for start in range(0, len(pieces), GROUP):
@@ -116,12 +113,15 @@ class Classifier:
         known = [i for i, x in enumerate(langs) if x]
         if not known:
             return []
+        following: list[str | None] = [None] * len(langs)
+        for i in range(len(langs) - 2, -1, -1):
+            following[i] = sentences[i + 1][0] or following[i + 1]
+        before = None
         for i, lang in enumerate(langs):
-            if lang is None:
-                before = next((langs[j] for j in range(i - 1, -1, -1) if langs[j]), None)
-                after = next((langs[j] for j in range(i + 1, len(langs)) if sentences[j][0]), None)
-                if before == after or not before or not after:
-                    langs[i] = before or after
+            after = following[i]
+            if lang is None and (before == after or not before or not after):
+                langs[i] = before or after
+            before = langs[i] or before
         for i in range(1, len(langs) - 1):
             if langs[i] != langs[i - 1] and langs[i - 1] == langs[i + 1]:
                 langs[i] = langs[i - 1]

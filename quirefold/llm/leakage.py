@@ -13,8 +13,9 @@ Method
    or ``LEAST`` of it and ``DENSE`` of the words of one stretch of half the item (one changed word in ten breaks some of its
    triples, and the half may have the lighter words).
 
-The items are a fixed evaluation set, at most ``MAX_ITEM_TOKENS`` tokens in one block; larger sets are worked
-off in several blocks, each sent to the executors as one broadcast variable of bounded size.  Documents are
+The items are a fixed evaluation set, some ``BLOCK_CHARS`` characters in one block; larger sets are worked
+off in several blocks, each sent to the executors as one broadcast variable of bounded size.  Words are weighted by all items, so
+blocks change no result.  Documents are
 never shuffled and never leave their partition: the work per document is linear in its length.
 
 Defined results: null or empty texts match nothing; items under ``SHORTEST`` tokens are not looked for and are
@@ -25,7 +26,7 @@ one row; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 from quirefold.llm.textkit import tokens
 
 FRACTION, RADIUS, LEAST, ANYWHERE, DENSE, GAP = 0.42, 7, 0.36, 0.47, 0.75, 7
-SIZES = (8, 10, 13, 16, 20, 25, 31, 39, 49, 61, 76, 95, 118, 148, 185, 231, 289, 361, 451, 564)
-SHORTEST = 8
+SIZES = (3, 4, 5, 6, 8, 10, 13, 16, 20, 25, 31, 39, 49, 61, 76, 95, 118, 148, 185, 231, 289, 361, 451, 564)
+#: half of a shorter item is under three words
+SHORTEST = 6
 BLOCKS, BLOCK_BITS = 4, 16
 WEIGHT_SCALE = 16
-MAX_ITEM_TOKENS = 2_000_000
+BLOCK_CHARS = 2_000_000
 #: documents are worked on in groups of so many tokens, which bounds the memory of a task
 GROUP_TOKENS = 30_000
 SCHEMA = "doc_id bigint, item_id bigint, item_share double, hamming int, doc_token int"
@@ -51,10 +53,10 @@ _FLIPS = np.array([0] + [1 << i for i in range(BLOCK_BITS)], dtype=np.int64)
 class ItemIndex:
     """Fingerprints of all item windows with their block tables."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], rarity: tuple[int, Counter] | None = None):
+        """``rarity``: number of all items and of those that hold each word, if ``items`` are one block of several."""
         self.words = {i: w for i, text in items if len(w := tokens(text or "")) >= SHORTEST}
-        seen = Counter(t for w in self.words.values() for t in set(w))
-        n = len(self.words)
+        n, seen = rarity or word_rarity(items)
         self.weight = {t: np.log((n + 1) / c) for t, c in seen.items()}
         self.other = np.log(n + 1) * 0.3
         hashed = sorted((xxhash.xxh64_intdigest(t), round(v * WEIGHT_SCALE)) for t, v in self.weight.items())
@@ -154,6 +156,17 @@ def _in_one_stretch(covered: set[int], n: int) -> bool:
     return False
 
 
+def word_rarity(items: Iterable[tuple[int, str]]) -> tuple[int, Counter]:
+    """Number of the items that are looked for, and of those that hold each word."""
+    n, counts = 0, Counter()
+    for _, text in items:
+        words = tokens(text or "")
+        if len(words) >= SHORTEST:
+            n += 1
+            counts.update(set(words))
+    return n, counts
+
+
 class TokenHashes(dict):
     def __missing__(self, token: str) -> int:
         self[token] = value = xxhash.xxh64_intdigest(token)
@@ -196,8 +209,6 @@ def search(index: ItemIndex, docs: list[tuple[int, list[str]]], cache: TokenHash
                 continue
             done.append(shift)
             best = max(best, (index.verify(docs[doc][1], item, shift), -shift))
-            if best[0] >= 0.95:
-                break
         out.append((docs[doc][0], item, best[0], least[doc, item], max(0, -best[1])))
     return out
 
@@ -209,11 +220,12 @@ def leaks(df: DataFrame, key: Column, text: Column, items: DataFrame, item_key:
     for row in items.select(F.col(item_key).cast("bigint"), item_text).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1] or "")
-        if size >= MAX_ITEM_TOKENS:
+        if size >= BLOCK_CHARS:
             blocks, block, size = [*blocks, block], [], 0
     blocks.append(block)
+    rarity = word_rarity(x for b in blocks for x in b)
     docs = df.select(key.cast("bigint").alias("doc_id"), text.alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    parts = [docs.mapInPandas(_searcher(spark.sparkContext.broadcast(ItemIndex(b))), SCHEMA) for b in blocks]
+    parts = [docs.mapInPandas(_searcher(spark.sparkContext.broadcast(ItemIndex(b, rarity))), SCHEMA) for b in blocks]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -7,8 +7,8 @@ least ``LEAST_SHARE`` of all jobs of its source.
 2. Mergeable heavy-hitter summaries (frequent-items sketches, Misra-Gries family) of hashed lines are built per
    source, map-side partial and then merged; what moves is one sketch per source and task, not the lines.  The
    number of counters follows from step 1, so that the largest possible error stays below half of the smallest
-   count that matters in any source: no line is lost.  (Where that would take more counters than a sketch
-   may have, all lines go to step 3.)
+   count that matters in any source: no line is lost.  (The lines of a source that would take more counters than a sketch
+   may have all go to step 3; the other sources keep their sketches.)
 3. Lines among the candidates are counted exactly: distinct jobs per source and line.
 4. Confirmed lines go back to the texts, broadcast if their checked number is small, else by a shuffle join.
 
@@ -43,19 +43,20 @@ def long_lines(df: DataFrame, key: Column, source: Column, job: Column, text: Co
     return lines.select("row_id", "source", "job_id", (F.col("at") + 1).alias("line_no"), normal_form(F.col("line")).alias("norm")).where("norm <> ''")
 
 
-def candidates(lines: DataFrame, jobs: DataFrame) -> DataFrame | None:
-    """(source, line_hash) of every line that may be excessive; None if a sketch cannot promise that."""
+def candidates(lines: DataFrame, jobs: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(source, line_hash) of every line that may be excessive, and the sources for which a sketch cannot promise that."""
     hashed = lines.select("source", F.xxhash64("norm").alias("line_hash"))
     volume = hashed.groupBy("source").agg(F.count("*").alias("lines")).join(jobs, "source")
-    ratio = volume.agg(F.max(F.col("lines") / F.col("least"))).first()[0]
+    volume = cut(volume.select("source", (F.col("lines") / F.col("least") <= MOST_COUNTERS / 2 / 2 / SKETCH_ERROR).alias("fits"), (F.col("lines") / F.col("least")).alias("ratio")))
+    ratio = volume.where("fits").agg(F.max("ratio")).first()[0]
+    beyond = broadcast_if_small(volume.where("NOT fits").select("source"))
     if ratio is None:
-        return hashed.limit(0)
+        return None if volume.where("NOT fits").limit(1).count() else hashed.limit(0), beyond
     counters = 1 << max(10, int(2 * SKETCH_ERROR * ratio).bit_length())
-    if counters > MOST_COUNTERS:
-        return None
-    top = hashed.groupBy("source").agg(F.expr(f"approx_top_k(line_hash, {min(counters, MOST_ITEMS)}, {counters})").alias("top"))
+    fitting = hashed.join(broadcast_if_small(volume.where("fits").select("source")), "source", "left_semi")
+    top = fitting.groupBy("source").agg(F.expr(f"approx_top_k(line_hash, {min(counters, MOST_ITEMS)}, {counters})").alias("top"))
     hits = top.select("source", F.explode("top").alias("hit")).select("source", F.col("hit.item").alias("line_hash"), F.col("hit.count").alias("n"))
-    return hits.join(jobs, "source").where(F.col("n") >= F.col("least")).select("source", "line_hash")
+    return hits.join(jobs, "source").where(F.col("n") >= F.col("least")).select("source", "line_hash"), beyond
 
 
 def excessive(df: DataFrame, key: Column, source: Column, job: Column, text: Column) -> tuple[DataFrame, DataFrame]:
@@ -63,10 +64,11 @@ def excessive(df: DataFrame, key: Column, source: Column, job: Column, text: Col
     lines = long_lines(df, key, source, job, text)
     jobs = df.groupBy(F.coalesce(source, F.lit("")).alias("source")).agg(F.count_distinct(job).alias("jobs"))
     jobs = broadcast_if_small(cut(jobs.withColumn("least", F.greatest(F.lit(LEAST_GROUPS), F.ceil(F.col("jobs") * LEAST_SHARE)))))
-    likely = candidates(lines, jobs)
+    likely, beyond = candidates(lines, jobs)
     if likely is not None:
         likely = broadcast_if_small(cut(likely))
-        lines = lines.withColumn("line_hash", F.xxhash64("norm")).join(likely, ["source", "line_hash"], "left_semi").drop("line_hash")
+        sketched = lines.withColumn("line_hash", F.xxhash64("norm")).join(likely, ["source", "line_hash"], "left_semi").drop("line_hash")
+        lines = sketched.unionByName(lines.join(beyond, "source", "left_semi")) if beyond.limit(1).count() else sketched
     confirmed = (
         lines.groupBy("source", "norm")
         .agg(F.count_distinct("job_id").alias("in_jobs"), F.count("*").alias("occurrences"))

@@ -152,7 +152,7 @@ def slots(df: DataFrame, keys: list[str], source: str, text: str) -> DataFrame:
 def markup_families(found: DataFrame, keys: list[str]) -> DataFrame:
     """The families of delimiters that the templates make use of; ``found`` is materialised."""
     valid = cut(classes(found, keys))
-    partners = found.join(F.broadcast(valid.select(F.explode("members").alias("token")).distinct()), "token", "left_semi").select("family").distinct()
+    partners = found.join(broadcast_if_small(valid.select(F.explode("members").alias("token")).distinct()), "token", "left_semi").select("family").distinct()
     member = broadcast_if_small(cut(valid.select("source", "class_id", F.explode("members").alias("token")).distinct()))
     spans = found.join(member, ["source", "token"]).groupBy(*keys, "class_id").agg(F.count_distinct("token").alias("n")).where("n > 1")
     beside = found.join(spans.select(*keys).distinct(), keys, "left_semi").groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_ROWS).select("family")

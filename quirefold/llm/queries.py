@@ -68,6 +68,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.twins(texts(spark, sf_dir), "src_table", "row_id", "text")
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return twins.twin_classes(texts(spark, sf_dir), "src_table", "row_id", "text")
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return twins.canonical(texts(spark, sf_dir), ["src_table", "row_id"], "text")
 
@@ -155,6 +159,7 @@ QUERIES = {
     "p2_slots": p2_slots,
     "p2_clean": p2_clean,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_calls": p5_calls,

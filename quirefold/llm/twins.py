@@ -28,6 +28,7 @@ of one text are no pair with each other; other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +52,7 @@ _AFTER = r"(?<=[ ，。；、])(?![\p{M}\p{Cf}])"
 
 def _fold(c: str) -> list[tuple[int, str]]:
     """(combining class, code point) after decomposition and look-alikes."""
-    if unicodedata.category(c) == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F:
+    if unicodedata.category(c) == "Cf" or 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
         return []
     if c in KEPT or 0xAC00 <= ord(c) < 0xD7A4:
         return [(0, c)]
@@ -64,7 +65,7 @@ def _fold(c: str) -> list[tuple[int, str]]:
 def _tables() -> tuple[list, list, str]:
     """Fold rows, composition rows, and the characters that may change."""
     folds, compositions, touched = [], [], []
-    for o in range(0x80, 0x2FA20):
+    for o in itertools.chain(range(0x80, 0x323B0), range(0xE0000, 0xE01F0)):
         c = chr(o)
         category = unicodedata.category(c)
         if category in ("Cn", "Co", "Cs"):
@@ -160,14 +161,32 @@ def canonical(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return same.unionByName(changed)
 
 
-def twins(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:
-    """(table, row_id_a, row_id_b): rows of one table that look the same and differ in their characters."""
+def _hashes(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:
+    """(table, row_id, own, form): hashes of every text of at least ``LEAST_CHARS`` characters and of its form."""
     keys = [table, row_id, "own"]
     rows = df.where(F.char_length(text) >= LEAST_CHARS).select(table, row_id, F.md5(text).alias("own"), F.when(changes(F.col(text)), F.col(text)).alias(text))
     rows = cut(rows)
     folded = fold_texts(rows.where(F.col(text).isNotNull()), keys, text).select(*keys, F.md5("folded").alias("form"))
     same = rows.where(F.col(text).isNull()).select(*keys, F.col("own").alias("form"))
-    hashes = cut(same.unionByName(folded))
+    return cut(same.unionByName(folded))
+
+
+def twin_classes(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:
+    """(table, row_id, class_id, texts, rows, links): one row per text that has twins, with the numbers of its class.
+
+    ``links`` are the rows of the class with other characters; classes are counted before rows are joined with them, so a class of a third of
+    all rows is one row on one side.
+    """
+    hashes = _hashes(df, table, row_id, text)
+    per_text = hashes.groupBy(table, "form", "own").agg(F.count("*").alias("copies"))
+    per_form = per_text.groupBy(table, "form").agg(F.count("*").alias("texts"), F.sum("copies").alias("rows")).where("texts > 1")
+    known = broadcast_if_small(cut(per_text.join(per_form, [table, "form"])))
+    return hashes.join(known, [table, "form", "own"]).select(table, row_id, F.col("form").alias("class_id"), "texts", "rows", (F.col("rows") - F.col("copies")).alias("links"))
+
+
+def twins(df: DataFrame, table: str, row_id: str, text: str) -> DataFrame:
+    """(table, row_id_a, row_id_b): rows of one table that look the same and differ in their characters."""
+    hashes = _hashes(df, table, row_id, text)
     mixed = hashes.groupBy(table, "form").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select(table, "form")
     members = hashes.join(mixed, [table, "form"], "left_semi")
     a = members.select(table, "form", F.col(row_id).alias("row_id_a"), F.col("own").alias("own_a"))

@@ -179,6 +179,16 @@ def test_canonical_text(spark):
     assert got == {1: "После обеда", 2: None, 3: "", 4: "page", 5: unicodedata.normalize("NFC", "ёлка́")}
 
 
+def test_invisible_characters_of_the_last_plane_and_classes(spark):
+    text = "The quiet river turns below the old mill every evening"
+    rows = [(1, text), (2, text.replace("r", "r\U000e0100", 1)), (3, text + "\U000e0041"), (4, text), (5, text + "!"), (6, None), (7, "short")]
+    df = spark.createDataFrame([("t", i, x) for i, x in rows], "tab string, id bigint, text string")
+    pairs = {(x.row_id_a, x.row_id_b) for x in twins.twins(df, "tab", "id", "text").collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+    got = {x.id: (x.texts, x.rows, x.links) for x in twins.twin_classes(df, "tab", "id", "text").collect()}
+    assert got == {1: (3, 4, 2), 4: (3, 4, 2), 2: (3, 4, 3), 3: (3, 4, 3)} and sum(x[2] for x in got.values()) == 2 * len(pairs)
+
+
 # 5 truncation
 
 
@@ -442,6 +452,19 @@ def test_leaks(spark):
     assert leakage.leaks(df, F.col("doc_id"), F.col("text"), it.limit(0)).count() == 0
 
 
+def test_blocks_of_items_and_short_items(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(r.choice(words) for _ in range(n)) for i, n in enumerate((6, 8, 11, 15, 40, 90))}
+    docs = [(i, " ".join(r.choice(words) for _ in range(60)) + " " + t + " " + " ".join(r.choice(words) for _ in range(60))) for i, t in texts.items()]
+    docs += [(10 + i, " ".join(r.choice(words) for _ in range(120))) for i in range(5)]
+    df, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(texts.items()), "item_id bigint, text string")
+    once = sorted(tuple(x) for x in leakage.leaks(df, F.col("doc_id"), F.col("text"), it).collect())
+    assert [x[:2] for x in once] == [(i, i) for i in texts] and all(x[2] == 1.0 for x in once)
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1)
+    assert sorted(tuple(x) for x in leakage.leaks(df, F.col("doc_id"), F.col("text"), it).collect()) == once
+
+
 # 9 mixture
 
 
