@@ -25,7 +25,9 @@ def p1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_repetition(spark, sf_dir).where(F.col("share") >= 0.3).select("call_id")
+    # the distances decide nothing here (README, problem 1)
+    calls = spread(read_table(spark, sf_dir, "llm_ocr"))
+    return repetition.measure(calls, F.col("call_id"), F.col("content")).where(F.col("share") >= 0.3).select(F.col("row_id").alias("call_id"))
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
