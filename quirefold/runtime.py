@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was measured and has at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,8 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a materialised side whose row count was checked; else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast hint for a materialised side whose rows and bytes were checked; else left to a shuffle join."""
+    kinds = dict(df.dtypes)
+    width = lambda c: F.octet_length(c) if kinds[c] == "string" else F.octet_length(F.to_json(c)) if "<" in kinds[c] else F.lit(8)
+    size = sum((F.coalesce(width(c), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    rows, size = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

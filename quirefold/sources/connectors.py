@@ -108,6 +108,52 @@ def submit_and_fetch(submit: Callable[[], str], fetch_state: Callable[[str], dic
     return fetch_result(state), None
 
 
+def submit_request(config: dict, path: str, options: dict) -> dict:
+    """What a page service takes: a JSON body for an address, form fields for a file, whose options are a JSON string."""
+    common = {"model": config["model_id"]}
+    if path.startswith("http"):
+        return {"json": {"fileUrl": path, **common, "optionalPayload": options}}
+    return {"form": {**common, "optionalPayload": json.dumps(options)}, "file": path}
+
+
+def job_of(reply: dict) -> str:
+    """Job number of a submission in either form; an error code raises."""
+    if reply.get("code", 0) != 0:
+        raise RuntimeError(reply.get("msg") or f"code {reply['code']}")
+    data = reply["data"]
+    return data["jobId"] if "jobId" in data else data["batch_id"]
+
+
+def state_of_reply(reply: dict) -> dict:
+    """(state, pages, done_pages, url, error) of a poll in either form; states between are ``running``."""
+    if reply.get("code", 0) != 0:
+        return {"state": "failed", "error": reply.get("msg") or f"code {reply['code']}"}
+    data = reply.get("data") or {}
+    if "extract_result" in data:
+        data = (data["extract_result"] or [{}])[0]
+    progress = data.get("extractProgress") or data.get("extract_progress") or {}
+    state = str(data.get("state") or "unknown").strip().lower()
+    return {
+        "state": state if state in ("done", "failed") else "running",
+        "pages": progress.get("totalPages", progress.get("total_pages")),
+        "done_pages": progress.get("extractedPages", progress.get("extracted_pages")),
+        "url": (data.get("resultUrl") or {}).get("jsonUrl") or data.get("full_zip_url"),
+        "error": data.get("errorMsg") or data.get("err_msg"),
+    }
+
+
+#: fixed values: how the result of each kind of service is read
+RESULT_FORMS = {"paddleocr_async": "layout lines", "pp-ocrv6": "text lines", "mineru_async": "archive", "openai": "chat", "anthropic": "chat"}
+
+
+def result_form(config: dict) -> str:
+    """Which reader of ``sources`` takes the result of a model; unknown kinds are an error."""
+    kind = config.get("content_format", "openai")
+    if kind not in RESULT_FORMS:
+        raise ValueError(f"no service of the kind {kind!r}")
+    return RESULT_FORMS[kind]
+
+
 def replay(replies: list[dict | Exception]) -> Transport:
     """A transport that gives recorded replies in turn and raises recorded errors."""
     left = list(replies)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -82,10 +84,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, md string, json string, error string")
 
 
-def write_texts(df: DataFrame, doc: str, text: str, path: str, model_key: str | None = None) -> None:
-    """One folder a document, named by document and model, each with its text."""
-    name = F.col(doc).cast("string") if model_key is None else F.concat_ws("_", F.col(doc).cast("string"), F.lit(model_key))
-    df.select(name.alias("name"), F.col(text).alias("value")).write.partitionBy("name").mode("overwrite").text(path)
+def write_files(df: DataFrame, name: str, text: str, folder: str) -> int:
+    """One file a row under ``folder``, which all executors share; returns the number of files.
+
+    A file is written beside its place and moved there, so a task that runs again leaves the same files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for target, value in zip(batch["name"], batch["value"]):
+                path = os.path.join(folder, target)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                draft = f"{path}.{uuid.uuid4().hex}"
+                with open(draft, "w", encoding="utf-8", newline="") as f:
+                    f.write(value)
+                os.replace(draft, path)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows = df.select(F.col(name).alias("name"), F.col(text).alias("value")).where(F.col("name").isNotNull() & F.col("value").isNotNull())
+    return rows.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def base_name(path: Column) -> Column:
+    """The name of a file without its folder and extension."""
+    return F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]*)?$", 1)
+
+
+def write_texts(df: DataFrame, doc: str, text: str, folder: str, model_key: str | None = None) -> int:
+    """``{base}_{model}.txt`` for each document."""
+    name = F.concat(base_name(F.col(doc).cast("string")), F.lit(f"_{model_key}.txt" if model_key else ".txt"))
+    return write_files(df.withColumn("_name", name), "_name", text, folder)
 
 
 #: fixed values: name endings of the other outputs
@@ -97,7 +125,14 @@ def output_name(path: Column, suffix: str) -> Column:
     return F.concat(F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]*)?$", 1), F.lit(suffix), F.regexp_extract(path, r"(\.[^./\\]*)$", 1))
 
 
-def write_metadata(df: DataFrame, doc: str, yaml: str, other: str, path: str) -> None:
-    """``meta`` for all documents, ``copyright`` for those that have one."""
-    df.select(F.col(doc).alias("name"), F.col(yaml).alias("value")).write.partitionBy("name").mode("overwrite").text(f"{path}/meta")
-    df.where(F.col(other) != "").select(F.col(doc).alias("name"), F.col(other).alias("value")).write.partitionBy("name").mode("overwrite").text(f"{path}/copyright")
+def write_metadata(df: DataFrame, doc: str, yaml: str, other: str, folder: str) -> int:
+    """``meta.yaml`` in the folder of each document, ``COPYRIGHT.md`` beside it for those that have one."""
+    key = base_name(F.col(doc).cast("string"))
+    both = df.select(F.concat(key, F.lit("/meta.yaml")).alias("name"), F.col(yaml).alias("value"))
+    rest = df.where(F.col(other) != "").select(F.concat(key, F.lit("/COPYRIGHT.md")).alias("name"), F.col(other).alias("value"))
+    return write_files(both.unionByName(rest), "name", "value", folder)
+
+
+def write_marked(df: DataFrame, path: str, text: str, suffix: str, folder: str) -> int:
+    """Texts with page marks or line breaks under the name of their input with a suffix."""
+    return write_files(df.withColumn("_name", output_name(F.col(path), suffix)), "_name", text, folder)

@@ -336,10 +336,52 @@ def test_command_line(spark, tmp_path, capsys):
 def test_names_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("/a/b/book.txt", 7, "text", "---\ntitle: x", "")], "path string, d int, t string, y string, c string")
     assert df.select(files.output_name(F.col("path"), files.PAGES_SUFFIX)).first()[0] == "book_div.txt"
-    files.write_texts(df, "d", "t", str(tmp_path / "texts"), "model")
-    assert spark.read.text(str(tmp_path / "texts" / "name=7_model"), wholetext=True).first()[0].strip() == "text"
-    files.write_metadata(df, "d", "y", "c", str(tmp_path / "meta"))
-    assert spark.read.text(str(tmp_path / "meta" / "meta" / "name=7"), wholetext=True).first()[0].strip() == "---\ntitle: x"
+    assert files.write_texts(df, "path", "t", str(tmp_path / "out"), "model") == 1
+    assert (tmp_path / "out" / "book_model.txt").read_text() == "text"
+    assert files.write_metadata(df, "path", "y", "c", str(tmp_path / "out")) == 1
+    assert (tmp_path / "out" / "book" / "meta.yaml").read_text() == "---\ntitle: x" and not (tmp_path / "out" / "book" / "COPYRIGHT.md").exists()
+    assert files.write_marked(df, "path", "t", files.PAGES_SUFFIX, str(tmp_path / "out")) == files.write_marked(df, "path", "t", files.BREAKS_SUFFIX, str(tmp_path / "out")) == 1
+    assert sorted(x.name for x in (tmp_path / "out").iterdir()) == ["book", "book.with_br.txt", "book_div.txt", "book_model.txt"]
+    assert files.write_texts(df.limit(0), "path", "t", str(tmp_path / "out")) == 0
+
+
+def test_pages_to_files(spark, tmp_path):
+    """Five pages in batches of two: calls, a failure, raw text, refinement and files."""
+    from quirefold.plans import recognition
+
+    pages = spark.createDataFrame([("/in/book.pdf", i, f"data:image/png;base64,{i}") for i in (3, 0, 4, 1, 2)], "path string, page int, uri string")
+    config = {"api_url": "u", "model_id": "m", "batch_size": 2, "prompt_text": "Read.", "content_format": "openai", "payload_template": "{}"}
+
+    def transport(_url, _headers, body):
+        text = body["messages"][0]["content"]
+        images = [x["image_url"]["url"][-1] for x in text if x["type"] == "image_url"]
+        if "4" in images:
+            raise OSError("busy")
+        return {"choices": [{"message": {"content": f"{text[0]['text'][7:]}\n第一行文字没有结束\n继续 {'-'.join(images)}。"}}]}
+
+    out = recognition.recognise(pages, "path", "page", "uri", config, transport, sleep=lambda _: None)
+    row = out.first()
+    assert row.failed == 1 and "批次 3 (共 3 批)" in row.raw_text and row.raw_text.index("0-1") < row.raw_text.index("2-3") < row.raw_text.index("[第5-5页识别失败]")
+    assert row.text_out.startswith("【当前批次：第1-2页（共5页）】第一行文字没有结束继续0-1。\n") and "\n\n" not in row.text_out
+    assert recognition.save(out, "path", "m", str(tmp_path)) == 2 and (tmp_path / "book_m.txt").read_text() == row.text_out
+    with pytest.raises(ValueError):
+        connectors.result_form({"content_format": "odd"})
+    with pytest.raises(ValueError):
+        recognition.recognise(pages, "path", "page", "uri", config | {"content_format": "mineru_async"}, transport)
+
+
+def test_service_forms():
+    config = {"model_id": "m"}
+    assert connectors.submit_request(config, "https://x/y.pdf", {"a": True}) == {"json": {"fileUrl": "https://x/y.pdf", "model": "m", "optionalPayload": {"a": True}}}
+    assert connectors.submit_request(config, "/y.pdf", {"a": True}) == {"form": {"model": "m", "optionalPayload": '{"a": true}'}, "file": "/y.pdf"}
+    assert connectors.job_of({"data": {"jobId": "j"}}) == "j" and connectors.job_of({"code": 0, "data": {"batch_id": "b", "file_urls": []}}) == "b"
+    with pytest.raises(RuntimeError, match="full"):
+        connectors.job_of({"code": 5, "msg": "full"})
+    done = connectors.state_of_reply({"data": {"state": "Done ", "extractProgress": {"totalPages": 3, "extractedPages": 3}, "resultUrl": {"jsonUrl": "u"}}})
+    assert done == {"state": "done", "pages": 3, "done_pages": 3, "url": "u", "error": None}
+    batch = connectors.state_of_reply({"code": 0, "data": {"extract_result": [{"state": "converting", "extract_progress": {"total_pages": 9, "extracted_pages": 1}}]}})
+    assert (batch["state"], batch["pages"], batch["done_pages"]) == ("running", 9, 1)
+    assert connectors.state_of_reply({"code": 1, "msg": "no"})["state"] == "failed" and connectors.state_of_reply({"data": {"extract_result": []}})["state"] == "running"
 
 
 def test_lookup(spark, monkeypatch):
