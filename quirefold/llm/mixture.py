@@ -115,6 +115,8 @@ def mix(
         .select(
             "source", "target_share", "max_repeats", "documents", "tokens", F.round("target_tokens").cast("bigint").alias("target_tokens"), "chosen", "most_copies", "reached_tokens",
             (F.col("reached_tokens") / F.lit(max(1, total))).alias("reached_share"),
+            # one row a source of the targets
+            F.coalesce(F.try_divide(F.col("reached_tokens"), F.sum("reached_tokens").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)).alias("mix_share"),
         )
     )
     return chosen, report

@@ -202,5 +202,10 @@ ORACLE: dict[str, str] = {
     "p5_calls": _JUDGED,
     "p5_sources": f"SELECT coalesce(source, '') AS source, count(*) AS calls, count(*) FILTER (WHERE is_cut) AS cut_calls, count(*) FILTER (WHERE is_cut) / count(*) AS cut_share FROM ({_JUDGED}) GROUP BY 1",
     "p6_found": _LINES + "SELECT block_id, line_no FROM n JOIN k USING (source, norm)",
+    "p6_clean": _LINES.rstrip().rstrip("\n") + r"""
+, a AS (SELECT block_id, unnest(string_split(block_content, chr(10))) AS line, unnest(range(1, len(string_split(block_content, chr(10))) + 1)) AS line_no FROM parsing_res_list WHERE block_content IS NOT NULL
+), gone AS (SELECT DISTINCT block_id, line_no FROM n JOIN k ON n.source IS NOT DISTINCT FROM k.source AND n.norm = k.norm
+), kept AS (SELECT block_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM a ANTI JOIN gone USING (block_id, line_no) GROUP BY block_id)
+SELECT p.block_id, CASE WHEN block_content IS NOT NULL THEN coalesce(t, '') END AS clean_text FROM parsing_res_list p LEFT JOIN kept USING (block_id)""",
     "p6_lines": _LINES + "SELECT source, norm, in_jobs, jobs, occurrences FROM k",
 }
