@@ -10,18 +10,19 @@ from quirefold.runtime import read_table, spread
 
 
 def language_samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
-    """The fixed table of labelled samples; at most ``MAX_SAMPLES`` rows are fitted on."""
+    """The fixed table of labelled samples; the dictionaries of problem 10 are fitted on at most ``MAX_SAMPLES`` rows."""
     rows = read_table(spark, sf_dir, "lang_samples").select("lang", "text").orderBy("sample_id").limit(MAX_SAMPLES).collect()
     return [(r[0], r[1]) for r in rows]
 
 
-#: documented bound of the labelled rows that language references are fitted on
+#: documented bound of the labelled rows that language dictionaries are fitted on
 MAX_SAMPLES = 20_000
 
 
 def p1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = spread(read_table(spark, sf_dir, "llm_ocr"))
-    return repetition.measure(calls, F.col("call_id"), F.col("content"), language_samples(spark, sf_dir)).withColumnRenamed("row_id", "call_id")
+    references = repetition.references(read_table(spark, sf_dir, "lang_samples"))
+    return repetition.measure(calls, F.col("call_id"), F.col("content"), references).withColumnRenamed("row_id", "call_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,15 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from quirefold.llm.textkit import BANNER, GROUNDING, tokens
+from quirefold.runtime import cut
 
 #: a passage: so many letters of any script, or so many of scripts without spaces
 PASSAGE_LETTERS, PASSAGE_CJK = 30, 12
@@ -151,7 +153,7 @@ def _class_of(c: str) -> int:
     return 11 if o >= 0x2E80 else 12
 
 
-def _histogram(counts: Counter, size: int) -> np.ndarray:
+def _histogram(counts: dict[int, int], size: int) -> np.ndarray:
     h = np.zeros(size)
     for k, v in counts.items():
         h[k] += v
@@ -166,22 +168,45 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (kl[0] + kl[1]) / 2))
 
 
+def _counted(samples: Iterable[tuple[str, str]]) -> dict[str, tuple[Counter, Counter]]:
+    """Character classes and words of the samples of each language."""
+    out: dict[str, tuple[Counter, Counter]] = {}
+    for lang, text in samples:
+        if lang and text:
+            kinds, words = out.setdefault(lang, (Counter(), Counter()))
+            for c, n in Counter("\n" + text).items():
+                kinds[_class_of(c)] += n
+            words.update(tokens(text))
+    return out
+
+
 class References:
     """Character-class and common-word histograms of each language, fitted on labelled samples."""
 
     def __init__(self, samples: list[tuple[str, str]]):
-        texts: dict[str, str] = {}
-        for lang, text in samples:
-            if lang and text:
-                texts[lang] = texts.get(lang, "") + "\n" + text
-        self.languages = sorted(texts)
+        counted = _counted(samples)
+        self._fit({lang: (kinds, sum(words.values()), sorted(words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]) for lang, (kinds, words) in counted.items()})
+
+    @classmethod
+    def of_counts(cls, counts: dict[str, tuple[dict[int, int], int, list[tuple[str, int]]]]) -> References:
+        """From the counts of character classes, of all words and of the common words of each language."""
+        out = cls([])
+        out._fit(counts)
+        return out
+
+    def _fit(self, counts: dict[str, tuple[dict[int, int], int, list[tuple[str, int]]]]) -> None:
+        self.languages = sorted(counts)
         self.places: dict[str, list[tuple[int, int]]] = {}
-        counted = [Counter(tokens(texts[lang])) for lang in self.languages]
-        for row, words in enumerate(counted):
-            for i, (w, _) in enumerate(sorted(words.items(), key=lambda x: (-x[1], x[0]))[:COMMON_WORDS]):
+        self.classes = np.array([_histogram(counts[lang][0], 13) for lang in self.languages])
+        self.words = np.zeros((len(self.languages), COMMON_WORDS + 1))
+        for row, lang in enumerate(self.languages):
+            _, total, common = counts[lang]
+            total = max(1, total)
+            for i, (w, n) in enumerate(common):
                 self.places.setdefault(w, []).append((row, i))
-        self.classes = np.array([self._classes(texts[lang]) for lang in self.languages])
-        self.words = np.array([self._words(words)[row] for row, words in enumerate(counted)])
+                self.words[row, i] = n
+            self.words[row, COMMON_WORDS] = total - self.words[row].sum()
+            self.words[row] /= total
 
     @staticmethod
     def _classes(text: str) -> np.ndarray:
@@ -210,13 +235,36 @@ class References:
         return [(self.languages[j], float(by_class[i, j]), float(by_word[i, j])) for i, j in enumerate(best.tolist())]
 
 
+def references(samples: DataFrame) -> References:
+    """References counted over all rows of ``samples`` (lang, text); the driver gets the common words of each language only."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for lang, (kinds, words) in _counted(zip(batch["lang"], batch["text"])).items():
+                rows += [(lang, kind, None, n) for kind, n in kinds.items()]
+                rows += [(lang, None, word, n) for word, n in words.items()]
+            yield pd.DataFrame(rows, columns=["lang", "kind", "word", "n"]).astype({"kind": "Int32"})
+
+    counted = cut(samples.select("lang", "text").mapInPandas(count, "lang string, kind int, word string, n bigint").groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")))
+    words = counted.where("word IS NOT NULL")
+    common = words.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON_WORDS)
+    out: dict[str, tuple[dict[int, int], int, list[tuple[str, int]]]] = {}
+    totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
+    for lang, kind, n in counted.where("kind IS NOT NULL").select("lang", "kind", "n").collect():
+        out.setdefault(lang, ({}, totals.get(lang, 0), []))[0][kind] = n
+    for lang, word, n in common.orderBy("lang", "place").select("lang", "word", "n").collect():
+        out[lang][2].append((word, n))
+    return References.of_counts(out)
+
+
 #: texts whose histograms are compared at once
 TOGETHER = 256
 
 
-def measure(df: DataFrame, key: Column, text: Column, samples: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per input row.  ``samples``: labelled texts of the language references (a small fixed table); without them distances are null."""
-    references = References(samples or [])
+def measure(df: DataFrame, key: Column, text: Column, samples: list[tuple[str, str]] | References | None = None) -> DataFrame:
+    """One row per input row.  ``samples``: language references or a few labelled texts to fit them on; without them distances are null."""
+    references = samples if isinstance(samples, References) else References(samples or [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

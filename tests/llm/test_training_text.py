@@ -8,7 +8,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.llm import language, leakage, lines, markup, mixture, repetition, scan_noise, truncation, twins
+from quirefold.llm import language, leakage, lines, markup, mixture, queries, repetition, scan_noise, truncation, twins
 
 LONG = "many words of a text that goes on. " * 20_000
 
@@ -56,6 +56,21 @@ def test_repetition_odd_cases(spark):
     assert repetition.measure(df.limit(0), F.col("call_id"), F.col("content")).count() == 0
 
 
+def test_references_count_all_samples(spark, tmp_path, monkeypatch):
+    """No sample is left out, however many there are, and counting in Spark gives what counting here gives."""
+    english, german = "The keeper of the archive copied the broken seal. ", "Der Hüter des Archivs ersetzte das zerbrochene Siegel. "
+    samples = [("en", english)] * 3 + [("en", None), ("", german), (None, german)] + [("de", german), ("de", "Das Siegel-")]
+    spark.createDataFrame([(i, *x) for i, x in enumerate(samples)], "sample_id bigint, lang string, text string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    spark.createDataFrame([(1, english * 3), (2, german * 3)], "call_id bigint, content string").write.parquet(f"{tmp_path}/llm_ocr.parquet")
+    monkeypatch.setattr(queries, "MAX_SAMPLES", 2)
+    got = {x.call_id: x for x in queries.p1_repetition(spark, str(tmp_path)).collect()}
+    assert (got[1].reference, got[2].reference) == ("en", "de")
+    counted, fitted = repetition.references(spark.read.parquet(f"{tmp_path}/lang_samples.parquet")), repetition.References(samples)
+    assert counted.languages == fitted.languages == ["de", "en"] and counted.places == fitted.places
+    assert (counted.classes == fitted.classes).all() and (counted.words == fitted.words).all()
+    assert repetition.references(spark.createDataFrame([], "lang string, text string")).languages == []
+
+
 def test_histograms_do_not_see_copies():
     """Why the divergence cannot give the share: a text and two copies of it have the same distances."""
     text = "The keeper of the archive had copied the broken seal beside the salt works, so it seems to us now. "
