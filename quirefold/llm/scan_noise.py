@@ -4,9 +4,11 @@
    characters are folded, words broken at line ends are joined, code, tags, formulas and table rows are left out.
 2. The vocabulary is the words in at least ``LEAST_TEXTS`` texts and a hundred-thousandth of all texts, so its size
    is bounded by 100,000 times the distinct words of a text, whatever the corpus.  It is kept as a trie.
-3. Every other word is looked up once, whatever the number of its occurrences: a Levenshtein automaton of the word,
-   with up to ``EDITS`` edits that scanners make (look-alikes, one letter read as two, two as one), is intersected with the
-   trie, which finds *all* entries within reach.  Candidates far more frequent than the word itself stay.
+3. Every word but codes is looked up once, in whatever case, whatever the number of its occurrences: a Levenshtein automaton of the
+   word, with up to ``EDITS`` edits that scanners make (look-alikes, one letter read as two, two as one), is intersected with the
+   trie, which finds *all* entries within reach.  Candidates far more frequent than the word itself stay; for words under
+   ``SHORTEST`` letters, which have common words all around them, and capitalised ones two edits away, which may be names, those
+   far more frequent after the same word.
 4. A candidate is chosen by edits, then by the words around it (counts of neighbour pairs), then by frequency.
 5. Lines that repeat the job's title, with or without a number, lines of any title with a number set off from it, and lines
    of a page number, all below or within the body, are furniture; they are removed, broken words joined, and lines flow into paragraphs again.
@@ -216,16 +218,29 @@ CORRECTION_SCHEMA = "word string, texts bigint, entries array<struct<edits:int,t
 
 
 def plausible(word: str) -> bool:
-    """Whether a word is looked up: long enough, with letters, and no name (capitalised without a digit)."""
+    """Whether a word is looked up: two letters or more, and no code, which is no case."""
     letters = sum(c.isalpha() for c in word)
     digits = len(word) - letters
-    if letters < 2 or len(word) < SHORTEST - (digits > 0) or digits > letters:
+    if letters < 2 or digits > letters:
         return False
+    if not digits:
+        return True
     return not word[0].isdigit() and (word[0].islower() or digits > 0 and not word.isupper()) or digits == 1 and word[0].isdigit() and word[1:].islower()
 
 
+def in_doubt(word: str) -> bool:
+    """Whether a word may need the word before it to be judged: short words, which have others all around them, and names."""
+    return len(word) < SHORTEST or word[:1].isupper()
+
+
+def keys_of(words: list[str]) -> set[str]:
+    """What corrections of these words are found under: the word, or the word before and the word."""
+    kept = [(a, w) for a, w in zip(["", *words], words) if plausible(w)]
+    return {w for _, w in kept} | {f"{a} {w}" for a, w in kept if in_doubt(w)}
+
+
 def corrections(counts: DataFrame, texts: int) -> DataFrame:
-    """Misread words with their candidates.  ``counts`` is materialised."""
+    """Words with candidates far more frequent than they are.  ``counts`` is materialised."""
     least = max(LEAST_TEXTS, texts * LEAST_RATE)
     spark = counts.sparkSession
     entries = [(r[0], r[1]) for r in counts.where(F.col("texts") >= least).toLocalIterator() if not any(c.isdigit() for c in r[0])]
@@ -245,6 +260,35 @@ def corrections(counts: DataFrame, texts: int) -> DataFrame:
     return counts.repartition(spark.sparkContext.defaultParallelism * 4, "word").mapInPandas(run, CORRECTION_SCHEMA)
 
 
+def in_context(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
+    """Corrections by the word before: candidates far more frequent after it.  ``doubtful`` is materialised."""
+    options = doubtful.select("word", F.explode("entries").alias("e"))
+    # words in doubt and their candidates; beyond the broadcast bound all pairs are counted and the joins choose
+    wanted = options.select("word").union(options.select("e.entry")).distinct()
+    few = wanted.limit(MOST_CORRECTIONS + 1).count() <= MOST_CORRECTIONS
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect())) if few else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys = shared.value if few else None
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                words = words_of(text)
+                if keys is None or not keys.isdisjoint(words):
+                    counts.update((a, b) for a, b in zip(["", *words], words) if keys is None or b in keys)
+            if len(counts) > 500_000:
+                yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
+                counts.clear()
+        yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
+
+    pairs = cut(texts.select("text").mapInPandas(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    read = pairs.select("a", F.col("b").alias("word"), F.col("n").alias("times")).join(options, "word").withColumn("b", F.col("e.entry"))
+    sure = read.join(pairs, ["a", "b"]).where((F.col("n") >= LEAST_TEXTS) & (F.col("n") >= RATIO * F.col("times")))
+    grouped = sure.groupBy("a", "word").agg(F.max("times").alias("texts"), F.collect_list(F.struct("e.edits", (-F.col("e.texts")).alias("texts"), "e.entry")).alias("entries"))
+    entries = F.expr("transform(array_sort(entries), x -> named_struct('edits', x.edits, 'texts', -x.texts, 'entry', x.entry))")
+    return grouped.select(F.concat_ws(" ", "a", "word").alias("word"), "texts", entries.alias("entries"))
+
+
 def _letters(text: str) -> str:
     return "".join(filter(str.isalpha, unicodedata.normalize("NFKC", text).casefold()))
 
@@ -300,7 +344,7 @@ def inspect(text: str, titles: list[str], known: dict, contexts: dict) -> tuple[
     words = words_of(text) if known else []
     if words and text[-1:].isalnum():
         words.pop()  # the last word of a text that was cut off is no misreading
-    misread = sum(w in known for w in words)
+    misread = sum(w in known or in_doubt(w) and f"{a} {w}" in known for a, w in zip(["", *words], words))
     if contexts and not text.isascii():
         flat = text.replace("\r", "").replace("\n", "")
         misread += sum(a != b and a in DENSE_ALIKE for a, b in zip(flat, _fill(flat, contexts)))
@@ -315,9 +359,12 @@ def titles_of(jobs: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _known(texts: DataFrame) -> DataFrame:
-    """Materialised corrections of a corpus."""
+    """Materialised corrections of a corpus, those in doubt under the word before and the word."""
     counts = cut(word_counts(texts, F.col("text")))
-    return cut(corrections(counts, texts.count()))
+    found = cut(corrections(counts, texts.count()))
+    doubt = F.col("word").rlike(rf"^\p{{L}}{{1,{SHORTEST - 1}}}$") | F.col("word").rlike(r"^\p{Lu}\p{L}*$") & (F.col("entries")[0]["edits"] > 1)
+    doubtful = found.where(doubt)
+    return found if doubtful.isEmpty() else cut(found.where(~doubt).unionByName(in_context(doubtful, texts)))
 
 
 def _shared_words(known: DataFrame, *columns: str):
@@ -332,7 +379,7 @@ def _row_corrections(rows: DataFrame, known: DataFrame, text: str = "text", spli
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(t, i, w) for t, i, x in zip(batch["src_table"], batch["row_id"], batch[text]) if x is not None for w in sorted({w for w in split(x) if plausible(w)})]
+            out = [(t, i, w) for t, i, x in zip(batch["src_table"], batch["row_id"], batch[text]) if x is not None for w in sorted(keys_of(split(x)))]
             yield pd.DataFrame(out, columns=["src_table", "row_id", "word"])
 
     pairs = rows.select("src_table", "row_id", text).mapInPandas(words, "src_table string, row_id bigint, word string")
@@ -510,11 +557,13 @@ def restore(joined: str, known: dict, pairs: dict, contexts: dict) -> str:
         joined = _fill(joined, contexts)
     if not known or not _ALPHABET.search(joined):
         return joined
-    last = [""]
+    last, read = [""], [""]
 
     def put(m: re.Match) -> str:
         word = m.group()
-        found = known.get(_fold(word))
+        folded = _fold(word)
+        found = known.get(folded) or in_doubt(folded) and known.get(f"{read[0]} {folded}")
+        read[0] = folded
         if found:
             entries = found[0]
             fewest = entries[0][0]
@@ -553,9 +602,11 @@ def _shared_pairs(pairs: DataFrame):
 def _ambiguous(joined: str, known: dict) -> set[tuple[str, str]]:
     """(word before, candidate) of all words with several candidates; the word before may itself be corrected."""
     out: set[tuple[str, str]] = set()
-    before = [""]
+    before, read = [""], ""
     for word in WORD.findall(joined) if known and _ALPHABET.search(joined) else ():
-        found = known.get(_fold(word))
+        folded = _fold(word)
+        found = known.get(folded) or in_doubt(folded) and known.get(f"{read} {folded}")
+        read = folded
         now = [e[2] for e in found[0] if e[0] == found[0][0][0]] if found else [word]
         if len(now) > 1:
             out.update((a, b) for a in before for b in now)
@@ -610,7 +661,7 @@ def repaired(texts: DataFrame, jobs: DataFrame, blocks: DataFrame) -> DataFrame:
     if shared is None or neighbours is None or fillers is None:
         flowed = cut(flowed)
     beyond = {
-        "fixes": lambda: None if shared is not None else _row_corrections(flowed, known, "flowed", lambda text: map(_fold, WORD.findall(text))),
+        "fixes": lambda: None if shared is not None else _row_corrections(flowed, known, "flowed", lambda text: [_fold(w) for w in WORD.findall(text)]),
         "befores": lambda: None if neighbours is not None else _row_pairs(flowed, pairs, shared),
         "fills": lambda: None if fillers is not None else _row_contexts(flowed, contexts),
     }

@@ -82,9 +82,10 @@ def scan(spark, sf):
     flags = cut(queries.p7_noise(spark, sf))
     rest = flags.where("broken + blots + heads + numbers = 0 AND misread > 0")
     print(f"p7: {flags.where('broken + blots + misread + heads + numbers > 0').count()} rows, {rest.count()} of them by the automaton or contexts alone", flush=True)
-    counts = scan_noise.word_counts(queries.texts(spark, sf).select("text"), F.col("text"))
-    capital = counts.where(r"word rlike '^\\p{Lu}\\p{Ll}{3,}$'")
-    print(f"p7: {capital.count()} capitalised words are not looked up, {capital.where('texts = 1').count()} of them stand in one text", flush=True)
+    counts = cut(scan_noise.word_counts(queries.texts(spark, sf).select("text"), F.col("text")))
+    found = cut(scan_noise.corrections(counts, queries.texts(spark, sf).where("text is not null").count()))
+    for kind, like in (("capitalised", r"^\p{Lu}\p{L}{3,}$"), ("short", r"^\p{L}{2,3}$")):
+        print(f"p7: {counts.where(F.col('word').rlike(like)).count()} {kind} words are looked up, {found.where(F.col('word').rlike(like)).count()} have candidates", flush=True)
 
 
 def mixture(spark, sf):

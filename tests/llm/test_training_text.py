@@ -363,6 +363,20 @@ def test_scan_noise(spark):
     assert fixed[n + 10] is None and fixed[n + 11] == ""
 
 
+def test_words_of_any_case_and_length_are_looked_up(spark, monkeypatch):
+    """Capitalised words as others are; short ones, and names two edits away, by what stands after the word before them."""
+    good = "Der Hüter des Archivs fand das Siegel neben der Truhe."
+    texts = [good] * 40 + [good.replace(*x) for x in (("Archivs", "Arcbivs"), ("Hüter", "Hüfer"), ("neben der", "neben dcr"), ("Der", "Dcr"))]
+    texts += ["Ein det stand dort.", "Hüfcr kamen. Maier, Truhen B2-201 und MP3.", good.replace("Hüter", "Hüfcr")]
+    df, jobs, blocks = _scan_tables(spark, texts)
+    misread = [40, 41, 42, 43, 46]
+    for most in (400_000, 0):
+        monkeypatch.setattr(scan_noise, "MOST_CORRECTIONS", most)
+        assert sorted(x.row_id for x in scan_noise.inspected(df, jobs, blocks).where("misread > 0").collect()) == misread
+        fixed = {x.row_id: x.repaired for x in scan_noise.repaired(df, jobs, blocks).collect()}
+        assert [fixed[i] for i in range(len(texts))] == [good if i in misread else x for i, x in enumerate(texts)]
+
+
 def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["The keeper never mentioned the broken seal before."] * 30 + ["The kceper never mentioned."]
     df, jobs, blocks = _scan_tables(spark, texts)
