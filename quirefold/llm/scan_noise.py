@@ -23,6 +23,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -51,19 +52,24 @@ ALIKE = (
 #: fixed values: one letter read as two, or two as one
 PAIRS = (("u", "ii"), ("m", "rn"), ("w", "vv"), ("d", "cl"), ("h", "li"), ("n", "ri"), ("m", "nn"), ("ы", "ьi"), ("ы", "ьі"), ("ю", "10"), ("ш", "iii"))
 BLOT = re.compile(r"[^\W\d_][□■◇◆〓※¦▪▯█]|[□■◇◆〓※¦▪▯█][^\W\d_]")
-HYPHEN = re.compile(r"([^\W\d_]+)[-‐¬\xad][ \t]*\r?\n\s*([^\W\d_]+)")
+_BLOT_MARK = re.compile(r"[□■◇◆〓※¦▪▯█]")
+HYPHEN = re.compile(r"[-‐¬\xad](?<=[^\W\d_].)[ \t]*\r?\n\s*(?=[^\W\d_])")
 #: a hyphen-like mark that ends a line after a letter, whatever furniture comes before the rest of the word
 HYPHEN_END = re.compile(r"[a-zß-öø-ÿœа-яё][-‐¬\xad][ \t]*\r?\n")
 PAGE_NUMBER = re.compile(
     r"^[ \t]*(?:[-–—~·•]+ ?\d{1,4} ?[-–—~·•]+|\(\d{1,4}\)|\[\d{1,4}\]|(?:(?:p|pp|page|pág|pag|página|s|seite|стр|с)\.? ?|[页頁] ?|第 ?)?\d{1,4}(?: ?[页頁])?)[ \t]*$", re.I
 )
+#: what may end the line of a page number besides a digit
+_NUMBER_ENDS = "-–—~·•)]页頁"
 #: a page number beside a running title: set off by four spaces, two strokes or a dot
 TITLE_AND_NUMBER = re.compile(r"(?:\d{1,4} {4,}\S[^|\t]{3,100}|[^|\t]{3,100}[^\s.,;:。，；：](?: {4,}| *// *| · )\d{1,4})")
 _RULE = re.compile(r"^[ \t]*={10,}[ \t]*$")
 _STRIP = re.compile(r"```.*?(?:```|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)|<!--.*?(?:-->|\Z)|</?[A-Za-z][^<>\n]*>?|\$[^$\n]+\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{.*?(?:\\end\{[^{}]*\}|\Z)|\\[A-Za-z]+(?:\{[^{}\n]*\})?|\{\{[^{}\n]*\}\}|&#?\w+;|https?://\S+|\S+\.(?:png|jpg|html?)\b|<\|.*?\|>", re.S)
-_MARKUP = re.compile(r"[<$\\&{`]|://")
+_MARKUP = re.compile(r"[<$\\&{`]")
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(rf"[^\W_{_CJK}]+")
+#: where words of ASCII text are split
+_ASCII_GAPS = {c: " " for c in range(128) if not chr(c).isalnum()}
 #: words need two letters of an alphabet in a row
 _ALPHABET = re.compile(r"[A-Za-zß-ɏЀ-ӿ]{2}")
 _INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
@@ -71,6 +77,7 @@ _LOOK = str.maketrans("оаеорсхуіѕјο", "oaeopcxyisjo")
 COUNT_SCHEMA = "word string, texts bigint"
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _fold(word: str) -> str:
     """Full-width forms, ligatures and combining accents composed; look-alikes by the script that the word has."""
     if word.isascii():
@@ -92,28 +99,32 @@ def words_of(text: str) -> list[str]:
     """The words of a text in their order, folded."""
     if not _ALPHABET.search(text):
         return []
-    if _MARKUP.search(text):
+    if _MARKUP.search(text) or "://" in text:
         text = _STRIP.sub(" ", text)
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
-    text = HYPHEN.sub(r"\1\2", text)
-    if not text.isascii():
-        text = _INVISIBLE.sub("", text)
-    return [_fold(w) for w in WORD.findall(text)]
+    if "\n" in text:
+        text = HYPHEN.sub("", text)
+    if text.isascii():
+        return text.translate(_ASCII_GAPS).split()
+    return [w if w.isascii() else _fold(w) for w in WORD.findall(_INVISIBLE.sub("", text))]
 
 
 def word_counts(df: DataFrame, text: Column) -> DataFrame:
     """(word, texts): the number of texts that hold each word."""
 
+    def frame(counts: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(w, n) for w, n in counts.items() if len(w) >= 2 and not w.isdigit()], columns=["word", "texts"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
             for content in batch["text"]:
-                counts.update({w for w in words_of(content) if len(w) >= 2 and not w.isdigit()})
+                counts.update(set(words_of(content)))
             if len(counts) > 500_000:
-                yield pd.DataFrame(list(counts.items()), columns=["word", "texts"])
+                yield frame(counts)
                 counts.clear()
-        yield pd.DataFrame(list(counts.items()), columns=["word", "texts"])
+        yield frame(counts)
 
     counted = df.select(text.alias("text")).where(F.col("text").isNotNull()).mapInPandas(run, COUNT_SCHEMA)
     return counted.groupBy("word").agg(F.sum("texts").alias("texts"))
@@ -147,6 +158,7 @@ _TWO_OF_ONE = {}
 for _one, _more in PAIRS:
     if len(_more) == 2:
         _TWO_OF_ONE.setdefault(_more, []).append(_one)
+_OF_TWO = frozenset("".join(_TWO_OF_ONE))
 
 
 class Automaton:
@@ -171,6 +183,8 @@ class Automaton:
                 while at >= 0:
                     self.longer.setdefault(one, []).append((1 << at, len(spelling)))
                     at = word.find(spelling, at + 1)
+        #: letters of an entry after which any position can live
+        self.letters = _OF_TWO.union(self.same, self.alike, self.longer)
 
     def step(self, levels: tuple[int, ...], before: tuple[int, ...] | None, last: str, c: str) -> tuple[int, ...]:
         same, alike = self.same.get(c, 0), self.alike.get(c, 0)
@@ -204,12 +218,12 @@ def candidates(trie: Trie, word: str, edits: int = EDITS) -> list[tuple[str, int
                     if e:
                         out.append((prefix, e, node[""]))
                     break
-        for c, child in node.items():
-            if c:
+        for c in automaton.letters if len(node) > len(automaton.letters) else node:
+            if c in node and c in automaton.letters:
                 after = automaton.step(levels, before, last, c)
                 # a state with no position may still live by a pair that began one letter ago
                 if any(after) or any(levels) and (c in _FIRST_OF_TWO):
-                    stack.append((child, after, levels, c, prefix + c))
+                    stack.append((node[c], after, levels, c, prefix + c))
     return out
 
 
@@ -302,13 +316,14 @@ def furniture(lines: list[str], titles: list[str]) -> list[str | None]:
     """``head`` or ``number`` for each line that is no body text."""
     out: list[str | None] = [None] * len(lines)
     body = 0
+    ruled = [bool(_RULE.match(line)) for line in lines] if any("==========" in line for line in lines) else None
     for i, line in enumerate(lines):
         stripped = line.strip()
         if not stripped:
             continue
-        if _RULE.match(line) or i and _RULE.match(lines[i - 1]) and i + 1 < len(lines) and _RULE.match(lines[i + 1]):
+        if ruled and (ruled[i] or i and ruled[i - 1] and i + 1 < len(lines) and ruled[i + 1]):
             out[i] = "banner"
-        elif PAGE_NUMBER.match(line):
+        elif (stripped[-1].isdecimal() or stripped[-1] in _NUMBER_ENDS) and PAGE_NUMBER.match(line):
             out[i] = "number"
         elif stripped[:1].isdigit() != stripped[-1:].isdigit() and TITLE_AND_NUMBER.fullmatch(stripped):
             out[i] = "head"
@@ -329,13 +344,19 @@ def furniture(lines: list[str], titles: list[str]) -> list[str | None]:
 FLAG_SCHEMA = "src_table string, row_id bigint, broken int, blots int, misread int, heads int, numbers int"
 
 
+@functools.lru_cache(maxsize=1 << 12)
 def _title_keys(title: str | None, header: str | None) -> list[str]:
     return [k for k in (_letters(t) for t in (title, header) if isinstance(t, str)) if len(k) >= 6]
 
 
-def inspect(text: str, titles: list[str], known: dict, contexts: dict) -> tuple[int, int, int, int, int]:
+def _doubtful(known: dict) -> frozenset[str]:
+    """Words that are misread after some words before them."""
+    return frozenset(k.partition(" ")[2] for k in known if " " in k)
+
+
+def inspect(text: str, titles: list[str], known: dict, doubtful: frozenset[str], contexts: dict) -> tuple[int, int, int, int, int]:
     """Number of broken words, blots, misread words and characters, running heads and page numbers."""
-    blots = len(BLOT.findall(text))
+    blots = len(BLOT.findall(text)) if _BLOT_MARK.search(text) else 0
     broken = heads = numbers = 0
     if "\n" in text:
         broken = len(HYPHEN_END.findall(text))
@@ -344,7 +365,9 @@ def inspect(text: str, titles: list[str], known: dict, contexts: dict) -> tuple[
     words = words_of(text) if known else []
     if words and text[-1:].isalnum():
         words.pop()  # the last word of a text that was cut off is no misreading
-    misread = sum(w in known or in_doubt(w) and f"{a} {w}" in known for a, w in zip(["", *words], words))
+    misread = 0 if known.keys().isdisjoint(words) else sum(w in known for w in words)
+    if not doubtful.isdisjoint(words):
+        misread += sum(w in doubtful and f"{a} {w}" in known for a, w in zip(["", *words], words))
     if contexts and not text.isascii():
         flat = text.replace("\r", "").replace("\n", "")
         misread += sum(a != b and a in DENSE_ALIKE for a, b in zip(flat, _fill(flat, contexts)))
@@ -409,10 +432,13 @@ def inspected(texts: DataFrame, jobs: DataFrame, blocks: DataFrame) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in FLAG_SCHEMA.split(", ")]
+        doubtful = None if shared is None else _doubtful(shared.value)
         for batch in batches:
             out = []
             for table, row_id, text, title, header, fixes, fills in zip(*(batch[c] for c in (*_COLUMNS, "fills"))):
-                out.append((table, row_id, *inspect(text, _title_keys(title, header), _of_row(shared, fixes), _fills_of_row(fillers, fills))))
+                fixable = _of_row(shared, fixes)
+                found = inspect(text, _title_keys(title, header), fixable, _doubtful(fixable) if doubtful is None else doubtful, _fills_of_row(fillers, fills))
+                out.append((table, row_id, *found))
             yield pd.DataFrame(out, columns=names)
 
     fixable = _with_corrections(rows, titled, known, shared).select(*_COLUMNS)

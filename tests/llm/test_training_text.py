@@ -3,6 +3,7 @@
 import itertools
 import os
 import random
+import time
 import unicodedata
 
 import pytest
@@ -377,6 +378,14 @@ def test_words_of_any_case_and_length_are_looked_up(spark, monkeypatch):
         assert [fixed[i] for i in range(len(texts))] == [good if i in misread else x for i, x in enumerate(texts)]
 
 
+def test_words_broken_twice_and_texts_without_a_gap():
+    assert scan_noise.words_of("the arch-\niv-\r\n ist - and\nthe ﬁle x-1 http://a.b/c") == ["the", "archivist", "and", "the", "file", "x", "1"]
+    assert scan_noise.words_of("Hüter-\nin ab_cd") == ["Hüterin", "ab", "cd"]
+    began = time.process_time()
+    assert scan_noise.words_of("ab" * 30_000) == ["ab" * 30_000]
+    assert time.process_time() - began < 1  # in proportion to the text
+
+
 def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["The keeper never mentioned the broken seal before."] * 30 + ["The kceper never mentioned."]
     df, jobs, blocks = _scan_tables(spark, texts)
