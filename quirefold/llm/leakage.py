@@ -5,6 +5,7 @@ Method
 1. Every item is cut into windows of ``FRACTION`` of its length (one of a few window sizes, so that all items
    share them), at every start.  A window's SimHash has 64 bits; features are its words (single characters for
    scripts without spaces), weighted by their rarity among the items, as whole numbers, so that sums are exact.
+   Four bits (two, where weights are large) are counted in one word of 64 bits.
 2. Documents are cut into windows of the same sizes at every sixth of a window, so a stretch of half an item always holds a whole one.  Multi-index Hamming blocks:
    the 64 bits fall into 4 blocks of 16; two fingerprints within ``RADIUS`` = 7 bits agree in one block up to
    one bit, so looking up each block and its 16 neighbours finds *all* pairs within the radius (pigeonhole).
@@ -45,6 +46,8 @@ WEIGHT_SCALE = 16
 BLOCK_CHARS = 2_000_000
 #: documents are worked on in groups of so many tokens, which bounds the memory of a task
 GROUP_TOKENS = 30_000
+#: small documents are fingerprinted in groups of so many tokens, which keeps their sums (136 bytes a token) small
+SEARCH_TOKENS = 16_000
 SCHEMA = "doc_id bigint, item_id bigint, item_share double, hamming int, doc_token int"
 
 _FLIPS = np.array([0] + [1 << i for i in range(BLOCK_BITS)], dtype=np.int64)
@@ -63,9 +66,15 @@ class ItemIndex:
         self.keys = np.array([k for k, _ in hashed], dtype=np.uint64)
         self.weights = np.array([v for _, v in hashed], dtype=np.int32)
         self.triples: dict[int, dict[tuple, list[int]]] = {}
+        sizes = {i: max((s for s in SIZES if s <= FRACTION * len(w)), default=min(SIZES)) for i, w in self.words.items()}
+        # a lane of a 64-bit word holds the sum of any window, with one bit to spare
+        heaviest = max([round(self.other * WEIGHT_SCALE), *self.weights.tolist()])
+        self.lane = 16 if max(sizes.values(), default=0) * heaviest < 1 << 15 else 32
+        self.shifts = np.arange(0, 64, 64 // self.lane, dtype=np.uint64)
+        self.item_weights = {i: [self.weight[t] for t in w] for i, w in self.words.items()}
         windows = defaultdict(lambda: ([], [], []))
         for i, w in self.words.items():
-            size = max((s for s in SIZES if s <= FRACTION * len(w)), default=min(SIZES))
+            size = sizes[i]
             starts = np.arange(len(w) - size + 1)
             prints = self.fingerprints(self.sums(hash_tokens(w, TokenHashes())), size, starts)
             for place, values in zip(windows[size], (prints, np.full(len(starts), i, np.int64), starts)):
@@ -82,50 +91,71 @@ class ItemIndex:
                 part = ((prints >> np.uint64(block * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
                 near = (part[:, None] ^ _FLIPS[None, :]).ravel()
                 order = np.argsort(near, kind="stable")
-                first = np.searchsorted(near[order], np.arange(65537))
-                tables.append((first, (order // len(_FLIPS)).astype(np.int64)))
+                first = np.searchsorted(near[order], np.arange(65537)).astype(np.int32)
+                rows = (order // len(_FLIPS)).astype(np.int32)
+                tables.append((first, rows, prints[rows]))
             self.by_size[size] = (prints, owner, start, tables)
             # a verified match covers a word triple, and so one of these tokens; documents without any are left out
             triples = (t for i in set(owner.tolist()) for t in self.triples[i])
             self.needles[size] = frozenset(x for t in triples for x in ([w for w in t if not w.isdigit()] or t))
 
     def sums(self, hashes: np.ndarray) -> np.ndarray:
-        """Running sums of the weighted bits, one row per bit."""
+        """Running sums of the weights of the set bits, in lanes of 64-bit words, and of all weights in the last row.
+
+        They may wrap around; their differences over a window do not.
+        """
         place = np.searchsorted(self.keys, hashes)
         place[place == len(self.keys)] = 0
         known = self.keys[place] == hashes if len(self.keys) else np.zeros(len(hashes), bool)
-        weight = np.where(known, self.weights[place] if len(self.keys) else 0, round(self.other * WEIGHT_SCALE)).astype(np.int32)
-        bits = np.unpackbits(np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8).T), axis=0, bitorder="little")
-        out = np.zeros((64, len(hashes) + 1), dtype=np.int32)
-        np.multiply(bits, 2 * weight, out=out[:, 1:])
-        out[:, 1:] -= weight
-        return np.cumsum(out, axis=1, dtype=np.int32, out=out)
-
-    @staticmethod
-    def fingerprints(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-        ones = np.take(sums, starts + size, axis=1) > np.take(sums, starts, axis=1)
-        return np.ascontiguousarray(np.packbits(ones, axis=0, bitorder="little").T).view(np.uint64)[:, 0]
+        weight = np.where(known, self.weights[place] if len(self.keys) else 0, round(self.other * WEIGHT_SCALE)).astype(np.uint64)
+        lanes = 64 // self.lane
+        spread = np.array([sum(1 << (self.lane * k) for k in range(lanes) if x >> k & 1) for x in range(1 << lanes)], dtype=np.uint64)
+        out = np.zeros((64 // lanes + 1, len(hashes) + 1), dtype=np.uint64)
+        low = np.uint64((1 << lanes) - 1)
+        for row, shift in zip(out, self.shifts):
+            np.multiply(np.take(spread, ((hashes >> shift) & low).view(np.int64)), weight, out=row[1:])
+        out[-1, 1:] = weight
+        return np.cumsum(out, axis=1, out=out)
+
+    def fingerprints(self, sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+        """A bit is set if more than half of the window's weight has it."""
+        lanes, top = 64 // self.lane, np.uint64(self.lane - 1)
+        ones = np.uint64(sum(1 << (self.lane * k) for k in range(lanes)))
+        window = np.take(sums, starts + size, axis=1)
+        window -= np.take(sums, starts, axis=1)
+        over = window[:-1]
+        # the highest bit of a lane is set by what is more than half
+        over += (np.uint64((1 << (self.lane - 1)) - 1) - (window[-1] >> np.uint64(1))) * ones
+        over >>= top
+        over &= ones
+        packed = over.copy()
+        for k in range(1, lanes):
+            packed |= over >> np.uint64(k * (self.lane - 1))
+        packed &= np.uint64((1 << lanes) - 1)
+        packed <<= self.shifts[:, None]
+        return np.bitwise_or.reduce(packed, axis=0)
 
     def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item window, distance) of all pairs within the radius."""
-        own, _, _, tables = self.by_size[size]
-        left, right = [], []
-        for block, (first, rows) in enumerate(tables):
+        _, _, _, tables = self.by_size[size]
+        left, right, distances = [], [], []
+        for block, (first, rows, near) in enumerate(tables):
             part = ((prints >> np.uint64(block * BLOCK_BITS)) & np.uint64(0xFFFF)).astype(np.int64)
-            begin, count = first[part], first[part + 1] - first[part]
-            total = int(count.sum())
-            if total:
-                window = np.repeat(np.arange(len(prints)), count)
-                offset = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-                left.append(window)
-                right.append(rows[np.repeat(begin, count) + offset])
+            begin = np.take(first, part)
+            count = np.take(first, part + 1) - begin
+            ends = np.cumsum(count)
+            if not len(ends) or not ends[-1]:
+                continue
+            entry = np.arange(ends[-1]) + np.repeat(begin - (ends - count), count)
+            distance = np.bitwise_count(np.repeat(prints, count) ^ np.take(near, entry))
+            at = np.flatnonzero(distance <= RADIUS)
+            left.append(np.searchsorted(ends, at, side="right"))
+            right.append(rows[entry[at]])
+            distances.append(distance[at])
         if not left:
             none = np.zeros(0, np.int64)
             return none, none, none
-        window, item_window = np.concatenate(left), np.concatenate(right)
-        distance = np.bitwise_count(prints[window] ^ own[item_window])
-        near = distance <= RADIUS
-        return window[near], item_window[near], distance[near].astype(np.int64)
+        return np.concatenate(left), np.concatenate(right).astype(np.int64), np.concatenate(distances).astype(np.int64)
 
     def verify(self, doc: list[str], item: int, shift: int) -> float:
         """Share of the item's weight in word triples that stand in the document on this alignment; 0 for little that is scattered."""
@@ -133,11 +163,13 @@ class ItemIndex:
         n = len(words)
         slack = max(8, n // 6)
         covered, triples = set(), self.triples[item]
-        for k in range(max(0, shift - slack), min(len(doc) - 2, shift + n + slack)):
-            for p in triples.get((doc[k], doc[k + 1], doc[k + 2]), ()):
-                if abs(k - p - shift) <= slack:
+        begin = max(0, shift - slack)
+        part = doc[begin : shift + n + slack + 2]
+        for k, places in enumerate(map(triples.get, zip(part, part[1:], part[2:])), begin - shift):
+            for p in places or ():
+                if -slack <= k - p <= slack:
                     covered.update((p, p + 1, p + 2))
-        weights = [self.weight[w] for w in words]
+        weights = self.item_weights[item]
         if not any(weights):
             weights = [1.0] * n
         share = sum(weights[p] for p in covered) / sum(weights)
@@ -184,8 +216,7 @@ def search(index: ItemIndex, docs: list[tuple[int, list[str]]], cache: TokenHash
     begins = ends - lengths
     sums = index.sums(hash_tokens([t for _, w in docs for t in w], cache))
     distinct = [set(w) for _, w in docs]
-    found: dict[tuple[int, int], set] = defaultdict(set)
-    least: dict[tuple[int, int], int] = {}
+    out = []
     for size, (_, owner, start, _) in index.by_size.items():
         step = max(1, size // 6)
         needles = index.needles[size]
@@ -196,20 +227,22 @@ def search(index: ItemIndex, docs: list[tuple[int, list[str]]], cache: TokenHash
         which = np.repeat(fits, counts)
         starts = begins[which] + step * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
         window, item_window, distance = index.candidates(index.fingerprints(sums, size, starts), size)
-        for w, iw, d in zip(window.tolist(), item_window.tolist(), distance.tolist()):
-            doc = int(which[w])
-            pair = doc, int(owner[iw])
-            found[pair].add(int(starts[w] - begins[doc] - start[iw]))
-            least[pair] = min(d, least.get(pair, 64))
-    out = []
-    for (doc, item), shifts in found.items():
-        done, best = [], (0.0, 0)
-        for shift in sorted(shifts):
-            if done and shift - done[-1] <= 2:
-                continue
-            done.append(shift)
-            best = max(best, (index.verify(docs[doc][1], item, shift), -shift))
-        out.append((docs[doc][0], item, best[0], least[doc, item], max(0, -best[1])))
+        if not len(window):
+            continue
+        doc, item = which[window], owner[item_window]
+        shift = starts[window] - begins[doc] - start[item_window]
+        order = np.lexsort((shift, item, doc))
+        doc, item, shift = doc[order], item[order], shift[order]
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
+        least = np.minimum.reduceat(distance[order], first)
+        for at, (i, j, nearest) in zip(np.split(shift, first[1:]), zip(doc[first].tolist(), item[first].tolist(), least.tolist())):
+            done, best = None, (0.0, 0)
+            for k in at.tolist():
+                if done is not None and k - done <= 2:
+                    continue
+                done = k
+                best = max(best, (index.verify(docs[i][1], j, k), -k))
+            out.append((docs[i][0], j, best[0], nearest, max(0, -best[1])))
     return out
 
 
@@ -263,7 +296,7 @@ def _searcher(shared):
                     group.append((len(group), piece))
                     origin.append((row, doc_id, n * GROUP_TOKENS))
                     size += len(piece)
-                    if size >= GROUP_TOKENS:
+                    if size >= SEARCH_TOKENS:
                         finish()
                         group, origin, size = [], [], 0
                         if len(cache) > 200_000:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.llm import language, leakage, lines, markup, mixture, queries, repetition, scan_noise, truncation, twins
+from quirefold.llm.textkit import tokens
 
 LONG = "many words of a text that goes on. " * 20_000
 
@@ -447,6 +448,33 @@ def test_blocks_find_all_within_the_radius():
     assert got == {(int(a), int(b)) for a, b in np.argwhere(every <= leakage.RADIUS)}
 
 
+def test_fingerprints_in_lanes(monkeypatch):
+    import numpy as np
+
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 300)}" for _ in range(900)]
+    items = [(i, " ".join(words[60 * i : 60 * i + 60])) for i in range(5)]
+    for scale, lane in ((leakage.WEIGHT_SCALE, 16), (9_000, 32)):
+        monkeypatch.setattr(leakage, "WEIGHT_SCALE", scale)
+        index = leakage.ItemIndex(items)
+        hashes = leakage.hash_tokens(words, leakage.TokenHashes())
+        sums = index.sums(hashes)
+        # 64 counters of four bytes before
+        assert index.lane == lane and sums.nbytes <= (136 if lane == 16 else 264) * (len(words) + 1)
+        weight = dict(zip(index.keys.tolist(), index.weights.tolist()))
+        weights = [weight.get(h, round(index.other * scale)) for h in hashes.tolist()]
+        for size in (3, 20, 25):
+            starts = np.arange(0, len(words) - size, 7)
+            for at, got in zip(starts.tolist(), index.fingerprints(sums, size, starts).tolist()):
+                part = list(zip(hashes.tolist()[at : at + size], weights[at : at + size]))
+                assert got == sum(1 << b for b in range(64) if sum(w if h >> b & 1 else -w for h, w in part) > 0)
+
+
+def test_tokens_of_ascii_and_other_text():
+    assert tokens("Abc12_d\u00e9f GH-\n ij\u4e2d\u65876x") == ["abc", "12", "d\u00e9f", "ghij", "\u4e2d", "\u6587", "6", "x"]
+    assert tokens("Abc12_dEf GH- \r\n ij 6x 7-\n8") == ["abc", "12", "def", "ghij", "6", "x", "7", "8"]
+
+
 def test_half_an_item_with_changed_words_in_one_stretch(spark):
     word = lambda kind, i: f"{kind}{chr(97 + i // 10)}{chr(97 + i % 10)}"
     item = [word("item", i) for i in range(80)]
