@@ -28,8 +28,9 @@ import json
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,9 @@ _STRIP = re.compile(r"```.*?(?:```|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)|<!--.*?(?:--
 _MARKUP = re.compile(r"[<$\\&{`]")
 _CJK = "぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(rf"[^\W_{_CJK}]+")
+#: the same where no character is as high as those of scripts without spaces and their marks
+_WORD_BELOW = re.compile(r"\w+")
+_DENSE = re.compile("[\u3002-\uffff]")
 #: where words of ASCII text are split
 _ASCII_GAPS = {c: " " for c in range(128) if not chr(c).isalnum()}
 #: words need two letters of an alphabet in a row
@@ -107,7 +111,9 @@ def words_of(text: str) -> list[str]:
         text = HYPHEN.sub("", text)
     if text.isascii():
         return text.translate(_ASCII_GAPS).split()
-    return [w if w.isascii() else _fold(w) for w in WORD.findall(_INVISIBLE.sub("", text))]
+    text = _INVISIBLE.sub("", text)
+    found = WORD.findall(text) if _DENSE.search(text) else _WORD_BELOW.findall(text.replace("_", " "))
+    return [w if w.isascii() else _fold(w) for w in found]
 
 
 def word_counts(df: DataFrame, text: Column) -> DataFrame:
@@ -303,6 +309,7 @@ def in_context(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
     return grouped.select(F.concat_ws(" ", "a", "word").alias("word"), "texts", entries.alias("entries"))
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def _letters(text: str) -> str:
     return "".join(filter(str.isalpha, unicodedata.normalize("NFKC", text).casefold()))
 
@@ -368,9 +375,9 @@ def inspect(text: str, titles: list[str], known: dict, doubtful: frozenset[str],
     misread = 0 if known.keys().isdisjoint(words) else sum(w in known for w in words)
     if not doubtful.isdisjoint(words):
         misread += sum(w in doubtful and f"{a} {w}" in known for a, w in zip(["", *words], words))
-    if contexts and not text.isascii():
+    if contexts and not text.isascii() and _DENSE.search(text):
         flat = text.replace("\r", "").replace("\n", "")
-        misread += sum(a != b and a in DENSE_ALIKE for a, b in zip(flat, _fill(flat, contexts)))
+        misread += sum(_meant(m, contexts) is not None for m in _SUSPECT.finditer(flat) if m.group() in DENSE_ALIKE)
     return broken, blots, misread, heads, numbers
 
 
@@ -461,6 +468,46 @@ MOST_CONTEXTS = 300_000
 _TRIPLE = re.compile(rf"(?=([{_CJK}，。；：].[{_CJK}，。；：]))", re.S)
 
 
+class TripleCounter:
+    """Counts three characters in a row of which the outer ones are among ``keys``."""
+
+    def __init__(self, keys: Iterable[str]):
+        ends = _codes("".join(keys)).reshape(-1, 2)
+        self.keys = np.unique(ends[:, 0] << _CODE_BITS | ends[:, 1])
+        #: most pairs are ruled out by a few bits
+        self.marks = np.zeros(1 << 20, dtype=bool)
+        self.marks[self._mark(self.keys)] = True
+        self.counts: Counter = Counter()
+
+    @staticmethod
+    def _mark(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+
+    def update(self, flats: list[str]) -> None:
+        """``flats`` have no line breaks; two between them belong to no triple."""
+        codes = _codes("\n\n".join(flats))
+        if len(codes) < 3 or not len(self.keys):
+            return
+        pairs = codes[:-2] << _CODE_BITS | codes[2:]
+        at = np.flatnonzero(np.take(self.marks, self._mark(pairs)))
+        pairs = pairs[at]
+        known = np.take(self.keys, np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)) == pairs
+        triples, n = np.unique(pairs[known] << _CODE_BITS | codes[at[known] + 1], return_counts=True)
+        for x, times in zip(triples.tolist(), n.tolist()):
+            self.counts[x] += times
+
+    def strings(self) -> list[tuple[str, int]]:
+        low = (1 << int(_CODE_BITS)) - 1
+        return [(chr(x >> 42) + chr(x & low) + chr(x >> 21 & low), n) for x, n in self.counts.items()]
+
+
+_CODE_BITS = np.uint64(21)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
 def _around(flat: str) -> list[str]:
     """The characters before and after each suspect character."""
     return [flat[m.start() - 1] + flat[m.end()] for m in _SUSPECT.finditer(flat)]
@@ -471,7 +518,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = {x for text in batch["text"] if not text.isascii() for x in _around(text.replace("\n", ""))}
+            seen = {x for text in batch["text"] if not text.isascii() and _DENSE.search(text) for x in _around(text.replace("\n", ""))}
             yield pd.DataFrame({"around": list(seen)}, dtype=object)
 
     around = cut(texts.select("text").mapInPandas(wanted, "around string").distinct())
@@ -480,15 +527,23 @@ def _contexts(texts: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in around.collect())) if few else None
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = shared.value if few else None
+        counter = TripleCounter(shared.value) if few else None
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch["text"]:
-                if text.isascii():
-                    continue
-                flat = text.replace("\n", "")
-                counts.update(t for t in _TRIPLE.findall(flat) if keys is None or t[0] + t[2] in keys)
-            yield pd.DataFrame(list(counts.items()), columns=["triple", "n"])
+            dense = (text.replace("\n", "") for text in batch["text"] if not text.isascii() and _DENSE.search(text))
+            if counter:
+                group, size = [], 0
+                for flat in dense:
+                    group.append(flat)
+                    size += len(flat)
+                    if size > 300_000:
+                        counter.update(group)
+                        group, size = [], 0
+                counter.update(group)
+                counts = counter.strings()
+                counter.counts.clear()
+            else:
+                counts = list(Counter(t for flat in dense for t in _TRIPLE.findall(flat)).items())
+            yield pd.DataFrame(counts, columns=["triple", "n"])
 
     counted = texts.select("text").mapInPandas(count, "triple string, n bigint").groupBy("triple").agg(F.sum("n").alias("n"))
     blot = F.col("c").rlike(r"[□■◇◆〓※¦▪▯█\n]")
@@ -527,14 +582,15 @@ def _fills_of_row(shared, fills: str | None) -> dict:
 def _fill(flat: str, contexts: dict) -> str:
     """Suspect characters replaced where nine in ten of their contexts hold one other character."""
 
-    def put(m: re.Match) -> str:
-        best = contexts.get(flat[m.start() - 1] + flat[m.end()])
-        if best is None or best[1] < LEAST_TEXTS or best[1] < 0.9 * best[2]:
-            return m.group()
-        blot = m.group() not in DENSE_ALIKE
-        return best[0] if blot or DENSE_ALIKE[m.group()] == best[0] else m.group()
+    return _SUSPECT.sub(lambda m: _meant(m, contexts) or m.group(), flat)
 
-    return _SUSPECT.sub(put, flat)
+
+def _meant(m: re.Match, contexts: dict) -> str | None:
+    """The character that a suspect one stands for, if its contexts tell."""
+    best = contexts.get(m.string[m.start() - 1] + m.string[m.end()])
+    if best is None or best[1] < LEAST_TEXTS or best[1] < 0.9 * best[2]:
+        return None
+    return best[0] if DENSE_ALIKE.get(m.group(), best[0]) == best[0] else None
 
 
 _SENTENCE_END = re.compile(r"[.!?。！？…:：;；][)\]”’»」』）\"]*\s*$")

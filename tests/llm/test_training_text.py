@@ -387,6 +387,37 @@ def test_words_broken_twice_and_texts_without_a_gap():
     assert time.process_time() - began < 1  # in proportion to the text
 
 
+def test_triples_against_the_pattern():
+    r = random.Random(4)
+    texts = ["".join(r.choice("的在了，。：a \r\t\u3005\U00020000\u2028é") for _ in range(r.randint(0, 60))) for _ in range(300)]
+    keys = frozenset(r.choice("的在了，。") + r.choice("的在了，。：") for _ in range(9))
+    counter = scan_noise.TripleCounter(keys)
+    for part in (texts[:100], [], texts[100:]):
+        counter.update(part)
+    expected = {}
+    for t in (t for text in texts for t in scan_noise._TRIPLE.findall(text)):
+        if t[0] + t[2] in keys:
+            expected[t] = expected.get(t, 0) + 1
+    assert expected and dict(counter.strings()) == expected
+    counter = scan_noise.TripleCounter(())
+    counter.update(texts)
+    assert counter.strings() == []
+
+
+def test_texts_without_dense_scripts_are_not_searched_for_suspects(monkeypatch):
+    contexts = {"我书": ("的", 90, 90), "我者": ("在", 90, 90)}
+    count = lambda text: scan_noise.inspect(text, [], {}, frozenset(), contexts)[2]
+    # a blot is none of the misread characters; a context of another character proves nothing
+    assert [count(x) for x in ("我旳书", "我旳\n书，我旳书", "我旳者", "我■书", "我的书")] == [1, 2, 0, 0, 0]
+    monkeypatch.setattr(scan_noise, "_SUSPECT", None)
+    assert count("Füße und “Wörter” — ещё") == 0
+
+
+def test_words_are_split_alike_with_and_without_dense_scripts():
+    for text in ("Grüße_an d’été x2 ещё_раз", "naïve \u0660\u0661 ﬁn \U00010400b ª", "_", "é\u200bt\u00e9 s\u0327a"):
+        assert scan_noise.words_of(text + " ab。") == [*scan_noise.words_of(text + " ab")]
+
+
 def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     texts = ["The keeper never mentioned the broken seal before."] * 30 + ["The kceper never mentioned."]
     df, jobs, blocks = _scan_tables(spark, texts)
