@@ -291,6 +291,30 @@ def test_lines_beyond_a_sketch(spark, monkeypatch):
     assert sketched == sorted(map(tuple, lines.excessive(df, *columns)[1].collect())) and len(sketched) >= 90
 
 
+def test_lines_are_split_and_normalised_once_a_pass(spark):
+    rows = [(i, "s", f"j{i % 9}", f"the same long line of a site\nanother long line {'x' * i} of text") for i in range(90)]
+    df = spark.createDataFrame(rows, "block_id bigint, source string, job_id string, t string")
+    columns = [F.col(c) for c in ("block_id", "source", "job_id", "t")]
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(lines.long_lines(df, *columns).withColumn("h", F.xxhash64("norm"))).count("Nd}") == 1
+    # the lines that were counted exactly are at hand for their places
+    confirmed, found = lines.excessive(df, *columns)
+    assert "Generate" not in plan(found) and found.count() == 90 and [x.norm for x in confirmed.collect()] == ["the same long line of a site"]
+
+
+def test_ends_of_lines_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    edges = ["a" * 19 + "\r\r", "b" * 19 + "\r", "c" * 20 + "\r", "d" * 19 + "\r\u2028", "e" * 18 + "\u0085\u2029", "-- " + "f" * 20 + " \u2028.", "\u00b2" * 9 + "\u2028" + "g" * 12, "-" * 30, "\u0661\u0662" + "h" * 20]
+    rows = [(i, "s", f"j{i % 9}", "\n".join(edges[k] for k in range(len(edges)) if (i + k) % 3)) for i in range(60)]
+    spark.createDataFrame(rows, "block_id bigint, source string, job_id string, block_content string").write.parquet(str(tmp_path / "parsing_res_list.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW parsing_res_list AS SELECT * FROM read_parquet('{tmp_path}/parsing_res_list.parquet/*.parquet')")
+    for name in ("p6_found", "p6_lines", "p6_clean"):
+        got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.sql(queries.ORACLE[name]).fetchall()) and len(got) > 5
+
+
 def test_lines_without_rows(spark):
     df = spark.createDataFrame([], "block_id bigint, source string, job_id string, t string")
     confirmed, found = lines.excessive(df, F.col("block_id"), F.col("source"), F.col("job_id"), F.col("t"))
