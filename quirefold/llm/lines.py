@@ -51,7 +51,8 @@ def long_lines(df: DataFrame, key: Column, source: Column, job: Column, text: Co
 
 def sources_of(df: DataFrame, source: Column, job: Column, text: Column) -> DataFrame:
     """(source, jobs, lines, least): the lines of every source that may count, and the jobs that an excessive one needs."""
-    long = F.size(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) >= LEAST_CHARS))
+    # null texts have none, whatever size() makes of null in this session
+    long = F.greatest(F.size(F.filter(F.split(text, "\n"), lambda x: F.char_length(x) >= LEAST_CHARS)), F.lit(0))
     counted = df.select(F.coalesce(source, F.lit("")).alias("source"), job.alias("job_id"), long.alias("n"))
     counted = counted.groupBy("source").agg(F.count_distinct("job_id").alias("jobs"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
     return counted.withColumn("least", F.greatest(F.lit(LEAST_GROUPS), F.ceil(F.col("jobs") * LEAST_SHARE)))

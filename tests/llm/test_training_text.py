@@ -302,6 +302,17 @@ def test_lines_are_split_and_normalised_once_a_pass(spark):
     assert "Generate" not in plan(found) and found.count() == 90 and [x.norm for x in confirmed.collect()] == ["the same long line of a site"]
 
 
+def test_null_texts_do_not_lower_the_number_of_lines(spark):
+    df = spark.createDataFrame([("s", "a", "x" * 20 + "\n" + "y" * 30)] + [("s", "a", None)] * 5, "source string, job_id string, t string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            assert [(x.jobs, x.lines) for x in lines.sources_of(df, F.col("source"), F.col("job_id"), F.col("t")).collect()] == [(1, 2)]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_ends_of_lines_as_in_sql(spark, tmp_path):
     import duckdb
 
