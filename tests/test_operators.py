@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import sqlfuncs
 from quirefold.operators import align, batches, jobs, layout, metadata, nesting, registry
+from quirefold.plans import pipeline
 from quirefold.sources import connectors, files, payloads
 
 
@@ -189,6 +190,26 @@ def test_page_spans(spark):
     assert flat == [0, 1, 3, 4, 6]
 
 
+def test_page_spans_of_refined_texts(spark, monkeypatch):
+    """No test for nulls is pushed through the refinement (it took the driver 18 GB of expressions), and all anchors are placed in one search."""
+    searches, cut, places = [], align.cut, align.places
+
+    def checked(df):
+        assert "isnotnull(refined" not in df._jdf.queryExecution().analyzed().toString()
+        return cut(df)
+
+    monkeypatch.setattr(align, "cut", checked)
+    monkeypatch.setattr(align, "places", lambda *x: searches.append(x) or places(*x))
+    pages = ["the first page of the ledger begins and ends here", "a second page of the ledger goes on for a while", "a third page closes the whole matter now"]
+    texts = pipeline.refine(spark.createDataFrame([(1, "\n\n".join(pages)), (2, None), (3, "")], "d int, t string"), "t", "refined")
+    rows = spark.createDataFrame([(d, i, p) for d in (1, 2) for i, p in enumerate(pages)] + [(3, 0, ""), (3, 1, None)], "d int, i int, p string")
+    got = {(x.d, x.i): (x.start_pos, x.end_pos) for x in align.page_spans(texts, rows, "d", "refined", "i", "p").collect()}
+    proof = texts.where("d = 1").first().refined
+    starts = [proof.index(p) for p in pages]
+    assert got == {(1, 0): (0, starts[0] + len(pages[0])), (1, 1): (starts[1], starts[1] + len(pages[1])), (1, 2): (starts[2], len(proof)), (3, 0): (0, 0), (3, 1): (0, 0)}
+    assert len(searches) == 1
+
+
 def test_metadata(spark):
     replies = ["no mark", "x\n---\ntitle: a\n", "---\ntitle: a\nauthor: b\n# c\n---\n\n rest", "", None, "---\nname: a\n---"]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(replies)], "i int, r string").withColumn("s", metadata.split_reply(F.col("r")))
